@@ -30,6 +30,7 @@ def _shingled(table: DataFrame, key: str) -> DataFrame:
         .when(F.size("w") > 0, F.array(F.xxhash64(F.lit("short"), F.array_join("w", " "))))
         .otherwise(F.array().cast("array<bigint>"))
     )
+    # Take them apart with explode_outer: what is inferred from explode would split a text again for every shingle.
     return w.select(key, "text_key", rolled.alias("shingles"))
 
 
@@ -54,13 +55,13 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCEN
     whole = stage(sets.select("item_id", "item_key", "n", F.explode("s").alias("h")), "item-shingles")
 
     rolled = _shingled(docs, "doc_id")
-    looked = rolled.select("doc_id", "text_key", F.size("shingles").alias("m"), F.explode("shingles").alias("h"))
+    looked = rolled.select("doc_id", "text_key", F.size("shingles").alias("m"), F.explode_outer("shingles").alias("h"))
     candidates = looked.join(_sized(keys), "h").filter(F.col("m") * 100 >= need).select("doc_id", "text_key", "item_id", "item_key").distinct()
     candidates = stage(candidates, "candidates")
 
     few = candidates.select(F.col("doc_id").alias("wanted")).distinct()
     chosen = docs.join(few, docs["doc_id"] == few["wanted"], "left_semi").select("doc_id", "text")
-    again = _shingled(chosen, "doc_id").select("doc_id", "text_key", F.explode(F.array_distinct("shingles")).alias("h"))
+    again = _shingled(chosen, "doc_id").select("doc_id", "text_key", F.explode_outer(F.array_distinct("shingles")).alias("h"))
     hits = again.join(_sized(whole), "h").groupBy("doc_id", "text_key", "item_id", "item_key", "n").agg(F.size(F.collect_set("h")).alias("found"))
     verified = hits.join(candidates, ["doc_id", "text_key", "item_id", "item_key"], "left_semi").filter(F.col("found") * 100 >= need)
     return verified.groupBy("doc_id", "item_id").agg(

@@ -88,7 +88,7 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: in
     """(doc_id, text_key, label, first, last, covered): verified spans in words, last inclusive."""
     spark = docs.sparkSession
     index = template_grams(spark, templates or TEMPLATES, k)
-    rolled = docs.select("doc_id", "text_key", F.posexplode(grams(F.col("words"), k)).alias("pos", "gram"))
+    rolled = docs.select("doc_id", "text_key", F.posexplode_outer(grams(F.col("words"), k)).alias("pos", "gram"))
     hits = rolled.join(F.broadcast(index), "gram").withColumn("diagonal", F.col("pos") - F.col("tpos"))
     key = ["doc_id", "text_key", "tid", "label", "size"]
     lines = hits.groupBy(*key, "diagonal").agg(F.collect_set("tpos").alias("votes"))
