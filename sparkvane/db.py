@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from .operators import search as _search
 from .operators.grouping import group_by_centroids, grouped_ids, resolve_vectors
 from .operators.tracker import Scene
 from .plans import catalog
-from .plans.config import DEFAULT_TAG, VECTORS, DbConfig, checked_prefix
+from .plans.config import DEFAULT_TAG, DbConfig, checked_prefix
 
 
 def _rows(ids, vectors, dimension: int, chunks) -> pd.DataFrame:
@@ -42,6 +43,14 @@ def _rows(ids, vectors, dimension: int, chunks) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "embedding": list(flat.reshape(n, dimension)), "chunk": chunks})
 
 
+def _frame(spark: SparkSession, rows: pd.DataFrame) -> DataFrame:
+    """The rows as a DataFrame, by Arrow."""
+    vectors = pa.array([v.tolist() for v in rows["embedding"]], pa.list_(pa.float32()))
+    text = lambda name: pa.array(rows[name].tolist(), pa.string())
+    number = lambda name: pa.array(rows[name].tolist(), pa.int64())
+    return spark.createDataFrame(pa.table({"id": number("id"), "embedding": vectors, "chunk": text("chunk"), "ts_ms": number("ts_ms"), "tag": text("tag"), "seq": number("seq")}))
+
+
 class FlatDB:
     def __init__(self, spark: SparkSession, dimension: int = 1024, max_elements: int = 1_000_000, space: str = "l2"):
         self.spark, self.config = spark, DbConfig(dimension=dimension, max_elements=max_elements, space=space)
@@ -54,7 +63,7 @@ class FlatDB:
         if self.size + len(rows) > self.config.max_elements:
             raise ValueError("the database is full")
         rows = rows.assign(ts_ms=0, tag=DEFAULT_TAG, seq=range(self.size, self.size + len(rows)))
-        new = self.spark.createDataFrame(rows, VECTORS)
+        new = _frame(self.spark, rows)
         self.vectors = new if self.vectors is None else self.vectors.union(new)
         self.size += len(rows)
         return int(rows["id"].iloc[-1])
@@ -179,7 +188,7 @@ class PartitionedDB:
         rows["seq"] = range(len(rows))
         number = (self._read("batches") or 0) + 1
         self._write("batches", number)
-        self.add_batch(self.spark.createDataFrame(rows, VECTORS), f"call-{number:012d}")
+        self.add_batch(_frame(self.spark, rows), f"call-{number:012d}")
         return int(rows["id"].iloc[-1])
 
     def lookup(self, query: Sequence[float], k: int = 1, *, partition: str | None = None, partitions: Sequence[str] = (), ts_start: int = 0, ts_end: int = 0, dedup: float = 0.0, mode: str = "exact", dedup_scope: str = "bucket", compat_unknown_tag: bool = False) -> DataFrame | None:

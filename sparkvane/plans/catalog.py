@@ -96,7 +96,7 @@ def prune(buckets: DataFrame, ts_start: int = 0, ts_end: int = 0, indexes: list[
 def with_pending(buckets: DataFrame, pending: DataFrame) -> DataFrame:
     """Manifest rows and, by name range, those of buckets not yet in it."""
     parsed = pending.select("partition_key", *parse_key(F.col("partition_key")))
-    dated = parsed.select("*", F.coalesce(bucket_start("ts_partition"), F.lit(0)).alias("ts_start"), F.coalesce(bucket_end("ts_partition") - 1, F.lit(0)).alias("ts_end"), F.lit(0).cast("long").alias("element_count"))
+    dated = parsed.select("*", F.coalesce(bucket_start(F.col("ts_partition")), F.lit(0)).alias("ts_start"), F.coalesce(bucket_end(F.col("ts_partition")) - 1, F.lit(0)).alias("ts_end"), F.lit(0).cast("long").alias("element_count"))
     return buckets.unionByName(dated.join(buckets, "partition_key", "left_anti"))
 
 
