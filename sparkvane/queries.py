@@ -200,13 +200,25 @@ def dedup_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("id", "partition_key", "score"), "score")
 
 
-@query()
+@query(_greedy("0"))
 def dedup_lookup_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.partitioned_lookup(routed(spark, sf_dir), asked(spark, sf_dir), K, dedup_threshold=SIMILAR, dedup_scope="global")
     return rounded(found.select("id", "partition_key", "score"), "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE f AS (
+  SELECT id, {UNIT.format(v="e")} AS u, row_number() OVER (ORDER BY id) AS rn FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)
+), t(rn, id, g, cs, ns) AS (
+  SELECT rn, id, 1::BIGINT, [u], [1::BIGINT] FROM f WHERE rn = 1
+  UNION ALL
+  SELECT rn, id, g, CASE WHEN g > len(cs) THEN list_append(cs, u) ELSE list_concat(list_append(cs[1:g - 1], list_transform(joined, lambda x: x / sqrt(list_dot_product(joined, joined)))), cs[g + 1:]) END,
+    CASE WHEN g > len(cs) THEN list_append(ns, 1) ELSE list_concat(list_append(ns[1:g - 1], ns[g] + 1), ns[g + 1:]) END
+  FROM (
+    SELECT f.rn, f.id, f.u, t.cs, t.ns, s.g, CASE WHEN s.g > len(t.cs) THEN f.u ELSE list_transform(range(1, 65), lambda i: t.cs[s.g][i] * t.ns[s.g] + f.u[i]) END AS joined
+    FROM t JOIN f ON f.rn = t.rn + 1, LATERAL (SELECT list_transform(t.cs, lambda c: list_dot_product(c, f.u)) AS sims) z,
+      LATERAL (SELECT CASE WHEN list_max(z.sims) >= {SIMILAR} THEN list_position(z.sims, list_max(z.sims))::BIGINT ELSE len(t.cs) + 1 END AS g) s
+  )
+) SELECT g - 1 AS group_id, id FROM t""")
 def centroid_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_by_centroids(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), SIMILAR)
 
