@@ -2,9 +2,9 @@
 
 Two sets of which one holds n shingles and whose Jaccard similarity is T or more share one of the first
 n - ceil(T n) + 1 shingles of each in any fixed order of all shingles: the prefix. The order here is: first the shingles
-whose hash lies below a bound, rarest first by their document count over the whole table, then the others by hash. So
-common passages stand last, and a document with enough shingles of its own below the bound has a prefix that nothing
-else can meet.
+whose hash lies below a bound, rarest first by their document count over the whole table, then the others, rarest first
+among the documents that come so far, and last the common ones of either kind. So a document with enough shingles of its
+own has a prefix that nothing else can meet, whatever passages it shares, and most have enough below the bound.
 
 1. Equal sets become one class. 2. Documents with the same prefix and size become one group. 3. Groups that share a
 prefix shingle and whose sizes allow T are pairs: first each with the smallest of its shingle and size band, then those
@@ -29,8 +29,11 @@ from .graph import components
 
 WORDS = 5
 PERCENT = 80
-#: The part of all hashes below the bound, under a half. It must exceed 1 - T by enough that few documents need others as well.
+#: The part of all hashes below the bound. It must exceed 1 - T by enough that few documents need others as well.
 LOW_PART = 0.26
+BOUND = np.uint64(int(LOW_PART * 2**64))
+#: Document count above which a shingle is common and stands last.
+FREQUENT = 32
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = np.zeros(256, bool)
@@ -97,17 +100,16 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def _profiles(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, digest, p, low (how many of the keys lie below the bound), keys."""
-    bound = np.uint64(int(LOW_PART * 2**64))
+    """doc_id, n, digest, p, low, keys: the `low` shingles below the bound."""
 
     def run(batches):
         for b in batches:
             rows = []
             for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist()), strict=True):
                 p = prefix_size(len(s), percent) if len(s) else 0
-                low = int(np.searchsorted(s, bound))
+                low = int(np.searchsorted(s, BOUND))
                 digest = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-                rows.append((doc, len(s), digest, p, low, s[: max(low, p)].view(np.int64)))
+                rows.append((doc, len(s), digest, p, low, s[:low].view(np.int64)))
             if rows:
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:5]), pa.array(list(c[5]), pa.list_(pa.int64()))], ["doc_id", "n", "digest", "p", "low", "keys"])
@@ -122,7 +124,34 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist())], pa.binary())], ["c", "s"])
 
-    return narrow(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "c long, s binary").dropDuplicates(["c"])
+    return narrow(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "c long, s binary")
+
+
+def _high_keys(sets: DataFrame) -> DataFrame:
+    """(c, k) of the shingles at or above the bound."""
+
+    def run(batches):
+        for b in batches:
+            for c, s in zip(b.column("c").to_pylist(), b.column("s"), strict=True):
+                x = np.frombuffer(s.as_buffer(), np.uint64)
+                k = x[np.searchsorted(x, BOUND) :].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c, np.int64)), pa.array(k)], ["c", "k"])
+
+    return sets.mapInArrow(run, "c long, k long")
+
+
+def _none():
+    return F.array().cast("array<struct<df:bigint,k:bigint>>")
+
+
+def _rare(x):
+    return x["df"] <= FREQUENT
+
+
+def _met(occurring: DataFrame) -> DataFrame:
+    """(c, met): of (c, k), the shingles that others have as well, with their document counts."""
+    shared = occurring.withColumn("df", F.count("*").over(W.partitionBy("k"))).filter("df > 1")
+    return shared.groupBy("c").agg(F.collect_list(F.struct("df", "k")).alias("met"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,19 +185,25 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     copies = stage(copies.filter("doc_id <> c").distinct(), "copies")
 
     own = profiles.filter("n > 0").join(copies.select("doc_id"), "doc_id", "left_anti")
-    occurring = own.select(F.col("doc_id").alias("c"), F.explode("keys").alias("k"))
-    shared = occurring.withColumn("df", F.count("*").over(W.partitionBy("k"))).filter("df > 1")
-    met = shared.groupBy("c").agg(F.collect_list(F.struct("df", "k")).alias("met"))
-    bound = F.lit(int(LOW_PART * 2**64))
-    # Half of all hashes are negative as signed numbers, and the bound is below them.
-    lows = F.filter("met", lambda x: (x["k"] >= 0) & (x["k"] < bound))
-    rest = F.filter("met", lambda x: (x["k"] < 0) | (x["k"] >= bound))
-    # Shingles of one document only stand first; what they leave of the prefix goes to the rarest shared ones.
-    alone = F.col("low") - F.size(lows)
-    room = F.greatest(F.least(F.col("p"), F.col("low")) - alone, F.lit(0)).cast("int")
-    chosen = F.concat(F.slice(F.array_sort(lows), 1, room), rest)
-    prefixed = own.select(F.col("doc_id").alias("c"), "n", "p", "low").join(met, "c").select("c", "n", "p", F.transform(chosen, lambda x: x["k"]).alias("keys"))
-    prefixed = stage(prefixed.filter(F.size("keys") > 0).select("c", "n", "keys", F.when(F.size("keys") == F.col("p"), F.xxhash64("n", F.array_sort("keys"))).alias("prefix")), "prefixes")
+    sized = own.select(F.col("doc_id").alias("c"), "n", "p", "low")
+    # Below the bound: shingles of one document only stand first, then the rarest shared ones up to FREQUENT documents.
+    low = _met(own.select(F.col("doc_id").alias("c"), F.explode("keys").alias("k")))
+    first_level = sized.join(low, "c", "left").select("c", "n", "p", "low", F.coalesce("met", _none()).alias("met"))
+    first_level = first_level.withColumn("slots", F.col("p") - F.col("low") + F.size("met")).filter("slots > 0")
+    first_level = first_level.withColumn("rare", F.filter("met", _rare)).withColumn("common", F.filter("met", lambda x: ~_rare(x)))
+    first_level = stage(first_level.drop("met"), "first-level")
+    sets = stage(_sets(docs, first_level.select(F.col("c").alias("doc_id"))), "sets")
+    # Those that lack shingles for their prefix go on above the bound; common shingles stand last of all.
+    unfilled = first_level.filter(F.size("rare") < F.col("slots")).select("c")
+    high = _met(_high_keys(sets.join(unfilled, "c", "left_semi")))
+    levels = first_level.join(high.withColumnRenamed("met", "high"), "c", "left").withColumn("high", F.coalesce("high", _none()))
+    alone = F.when(F.size("rare") < F.col("slots"), F.col("n") - F.col("low") - F.size("high")).otherwise(F.lit(0))
+    levels = levels.withColumn("alone", alone).withColumn("rare", F.array_sort("rare"))
+    left = F.greatest(F.col("slots") - F.size("rare") - F.col("alone"), F.lit(0)).cast("int")
+    rest = F.concat(F.array_sort(F.filter("high", _rare)), F.array_sort("common"), F.array_sort(F.filter("high", lambda x: ~_rare(x))))
+    chosen = F.concat(F.slice("rare", 1, F.least(F.col("slots"), F.size("rare")).cast("int")), F.slice(rest, 1, left))
+    prefixed = levels.select("c", "n", "p", F.transform(chosen, lambda x: x["k"]).alias("keys")).filter(F.size("keys") > 0)
+    prefixed = stage(prefixed.select("c", "n", "keys", F.when(F.size("keys") == F.col("p"), F.xxhash64("n", F.array_sort("keys"))).alias("prefix")), "prefixes")
 
     groups = prefixed.filter("prefix is not null").groupBy("n", "prefix").agg(F.min("c").alias("g"))
     member = prefixed.select("c", "n", "prefix").join(groups, ["n", "prefix"], "left").select("c", F.coalesce("g", "c").alias("g"))
@@ -180,9 +215,6 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = keyed.groupBy("k", "band").agg(F.min("g").alias("m"), F.count("*").alias("size")).filter("size > 1")
     first = keyed.join(least, ["k", "band"]).filter("g <> m").select(F.col("m").alias("a"), F.col("g").alias("b"))
     first = stage(first.union(member.filter("c <> g").select(F.col("g").alias("a"), F.col("c").alias("b"))).distinct(), "pairs")
-    wanted = keyed.select("k", "g").groupBy("k").agg(F.count("*").alias("size")).filter("size > 1").select("k")
-    wanted = keyed.join(wanted, "k", "left_semi").select(F.col("g").alias("doc_id")).union(first.select("b")).union(first.select("a")).distinct()
-    sets = stage(_sets(docs, wanted.union(member.join(wanted.withColumnRenamed("doc_id", "g"), "g", "left_semi").select("c")).distinct()), "sets")
     links = stage(_verified(first, sets, percent), "links-first")
     found = stage(components(links), "components-first")
 
@@ -201,6 +233,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     every = components(links.union(more).union(copies.select(F.col("c").alias("a"), F.col("doc_id").alias("b"))))
     joined = profiles.select("doc_id", F.col("n").alias("n_shingles")).join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     result = joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    for s in (prefixed, keyed, sets, spread, first):
+    result = stage(result, "components")
+    for s in (profiles, copies, first_level, sets, prefixed, member, keyed, first, links, found, spread, more):
         drop_stage(s)
     return result
