@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 CATALOG = "file_path string, node_id string, file_size long, modified_time long, created_time long, metadata string, last_scanned_time long"
-#: Folders that a scan passes by.
-EXCLUDED = (".git", "QuantaDB", "$RECYCLE.BIN", "System Volume Information")
+# Folders that a scan passes by. Give a database's own data folder with `exclude` too.
+EXCLUDED = (".git", "$RECYCLE.BIN", "System Volume Information")
 BATCH = 10_000
 
 
