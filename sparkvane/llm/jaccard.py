@@ -118,13 +118,21 @@ def _profiles(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, s): the whole sets of the wanted documents."""
+    """(c, s, bits): the whole sets of the wanted documents, and of each a parity bitmap.
+
+    Every shingle flips one bit, so two bitmaps differ in no more bits than the sets differ in shingles.
+    """
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist())], pa.binary())], ["c", "s"])
+            raw, bits = [], []
+            for s in shingle_sets(b.column("text").to_pylist()):
+                raw.append(s.tobytes())
+                odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["c", "s", "bits"])
 
-    return narrow(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "c long, s binary")
+    return narrow(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "c long, s binary, bits array<long>")
 
 
 def _high_keys(sets: DataFrame) -> DataFrame:
@@ -218,17 +226,19 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = stage(_verified(first, sets, percent), "links-first")
     found = stage(components(links), "components-first")
 
-    # Second pairs: what shares a prefix shingle, may be similar by size, and isn't connected yet.
+    # Second pairs: what shares a prefix shingle, may be similar by size and bitmap, and isn't connected yet.
     named = member.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "g", F.coalesce("component", "c").alias("component"))
     spread = named.join(keyed, "g").select("k", "n", "c", "component")
     several = spread.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("k")
-    spread = stage(spread.join(several, "k", "left_semi"), "spread")
+    spread = stage(spread.join(several, "k", "left_semi").join(sets.select("c", "bits").dropDuplicates(["c"]), "c"), "spread")
+    apart = sum((F.bit_count(F.get("x.bits", i).bitwiseXOR(F.get("y.bits", i))) for i in range(8)), F.lit(0))
+    may = (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    other = (F.col("x.component") < F.col("y.component")) & may
     x, y = spread.alias("x"), spread.alias("y")
-    near = F.least(F.col("x.n"), F.col("y.n")) * 100 >= F.greatest(F.col("x.n"), F.col("y.n")) * percent
-    second = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.component") < F.col("y.component")) & near)
-    second = second.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).union(
-        named.alias("x").join(named.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.component") < F.col("y.component"))).select(F.col("x.c"), F.col("y.c"))
-    )
+    second = x.join(y, (F.col("x.k") == F.col("y.k")) & other).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    grouped = named.join(prefixed.select("c", "n"), "c").join(sets.select("c", "bits").dropDuplicates(["c"]), "c")
+    x, y = grouped.alias("x"), grouped.alias("y")
+    second = second.union(x.join(y, (F.col("x.g") == F.col("y.g")) & other).select(F.col("x.c"), F.col("y.c")))
     more = stage(_verified(second.distinct(), sets, percent), "links-second")
     every = components(links.union(more).union(copies.select(F.col("c").alias("a"), F.col("doc_id").alias("b"))))
     joined = profiles.select("doc_id", F.col("n").alias("n_shingles")).join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left")
