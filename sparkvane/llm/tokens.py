@@ -9,13 +9,31 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from itertools import filterfalse
+
+import numpy as np
 
 from .common import one_thread
 
 #: Words kept in each of the memo's two halves; the older half goes when the newer is full.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 500_000
 _RUNS = re.compile(r"\s\s\s|\s\s\Z")
 _ENDS = {",", "."}
+#: Marks a word with nothing before it. Texts that hold it go to the tokenizer whole.
+_BARE = "\x00"
+#: Letters before this are Latin ones that composition leaves as they are, and whose small letters are one character.
+_PLAIN = "\u0130"
+
+
+def _shown_bytes() -> dict[int, str]:
+    """The character by which byte-level tokenizers show each byte: itself where it prints, else the next free one from 256."""
+    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_SHOWN = _shown_bytes()
 
 
 class WordEncoder:
@@ -24,6 +42,7 @@ class WordEncoder:
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         one_thread()
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -35,33 +54,63 @@ class WordEncoder:
         parts = [x["type"] for x in pre.get("pretokenizers", ())]
         self.dropped = parts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed"
         self.memo_words, self.new, self.old = memo_words, {}, {}
+        self.code = {2: "H", 4: "I"}[self.width]
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        self.mark = self.merges.encode(_SHOWN[10], add_special_tokens=False).ids[0]
         self.ends = {x: self._pack(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in _ENDS}
         self.line = self._pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def _pack(self, ids: list[int]) -> bytes:
-        import numpy as np
-
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self._pack(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """words: as they stand in a text, with the space or line end before them."""
-        cut = {w: w[:-1] if len(w) > 2 and w[-1] in _ENDS and w[-2].isalpha() and w[-2].isascii() else w for w in words}
-        lines = {w: (c[1:] if self.spaced and len(c) > 1 and c[0] == "\n" else c) for w, c in cut.items()}
-        bare = list(dict.fromkeys(lines.values()))
-        ids = dict(zip(bare, self._whole(bare), strict=True))
-        return {
-            w: (self.line if lines[w] is not cut[w] else b"") + ids[lines[w]] + (self.ends[w[-1]] if cut[w] is not w else b"")
-            for w in words
-        }
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, each of them one piece to the merges: all in one call, with marks between."""
+        shown = "\n".join(words).encode().decode("latin-1").translate(_SHOWN).replace(_SHOWN[10], f" {_SHOWN[10]} ")
+        ids = array(self.code, self.merges.encode_batch_fast([f"{shown} {_SHOWN[10]}"], add_special_tokens=False)[0].ids)
+        raw, w = ids.tobytes(), self.width
+        ends = (np.flatnonzero(np.frombuffer(raw, self.dtype) == self.mark) * w).tolist()
+        return [raw[a:b] for a, b in zip([0, *[e + w for e in ends]], ends)]  # noqa: B905
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts words, keyed as _words gives them, into the memo."""
+        new, old, ends, spaced, dropped = self.new, self.old, self.ends, self.spaced, self.dropped
+        later, letters, other = [], [], []
+        stems: set[str] = set()
+        for w in words:
+            stem, lead, end = w, b"", b""
+            if w[-1:] in ends and w[-2:-1].isalpha() and w[-2] < _PLAIN:
+                stem, end = w[:-1], ends[w[-1]]
+            if spaced and stem[:1] == "\n" and len(stem) > 1:
+                stem, lead = _BARE + stem[1:], self.line
+            if stem is not w:
+                later.append((w, lead, stem, end))
+                if stem in new or stem in words or stem in stems:
+                    continue
+                if stem in old:
+                    new[stem] = old[stem]
+                    continue
+                stems.add(stem)
+            bare = stem[1:] if spaced and stem[:1] == _BARE else stem
+            (letters if bare.isalpha() and max(bare) < _PLAIN else other).append(stem)
+        if letters:
+            new.update(zip(letters, self._letters([x.lower() for x in letters] if dropped else [self._text(x) for x in letters]), strict=True))
+        if other:
+            new.update(zip(other, self._whole([self._text(x) for x in other]), strict=True))
+        for w, lead, stem, end in later:
+            new[w] = lead + new[stem] + end
+
+    def _text(self, key: str) -> str:
+        return key if self.dropped or key[:1] == "\n" else key[1:] if key[:1] == _BARE else " " + key
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not (self.spaced or self.dropped):
             return self._whole(texts)
         out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.spaced and _RUNS.search(t)]
+        odd = [i for i, t in enumerate(texts) if self.spaced and (_RUNS.search(t) or _BARE in t)]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         for at in range(0, len(texts), 256):
@@ -69,22 +118,23 @@ class WordEncoder:
         return out
 
     def _words(self, text: str) -> list[str]:
+        """A text's words as keys of the memo: after a line end with it, the first one marked, others follow a space."""
         if self.dropped:
             return text.replace("\n", " ").split(" ")
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[w if w[:1] == "\n" else " " + w for w in rest]]
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = _BARE + words[0]
+        return words
 
     def _some(self, texts: list[str], which: range, out: list) -> None:
         words = {i: self._words(texts[i]) for i in which if out[i] is None}
         new, old = self.new, self.old
-        missing = []
-        for w in set().union(*words.values()):
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    missing.append(w)
-        new.update(self._learn(missing))
+        missing: set[str] = set()
+        for w in words.values():
+            missing.update(filterfalse(new.__contains__, w))
+        for w in old.keys() & missing:
+            new[w] = old[w]
+        missing.difference_update(new)
+        self._learn(missing)
         for i, w in words.items():
             out[i] = b"".join(map(new.__getitem__, w))
         if len(new) > self.memo_words:

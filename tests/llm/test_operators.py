@@ -35,7 +35,7 @@ def test_word_encoder_gives_the_tokenizers_ids(name):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
-    texts = [t or "" for t in ODD] + ["it's I'll don't,", "É,È.", "été é, x", "İ, ſ. ǅ", "x\n\ty\n z\n\n w \n\n v", "..,, a.,b, ,. b.\n.c\n,d", " a", "a ", "a  "] + [prose(500, i) for i in range(20)]
+    texts = [t or "" for t in ODD] + ["it's I'll don't,", "É,È.", "été é, x", "İ, ſ. ǅ", "x\n\ty\n z\n\n w \n\n v", "..,, a.,b, ,. b.\n.c\n,d", " a", "a ", "a  ", "a\x00b \x00c", "\x00"] + [prose(500, i) for i in range(20)]
     for encoder in (tokens.WordEncoder(path), tokens.WordEncoder(path, memo_words=100)):
         got = encoder.encode(texts)
         for t, g in zip(texts, got, strict=True):
