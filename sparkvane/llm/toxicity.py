@@ -22,6 +22,8 @@ FOLDS, HELD = 4, 2
 #: Labelled rows that trees and calibration are fitted on, at most.
 SAMPLE_ROWS = 20_000
 WORD_LEXICON, RUN_LEXICON, RUN = 400, 24, 4
+#: Different words and runs that a counting task holds before it passes their counts on.
+COUNTED_AT_ONCE = 500_000
 #: Toxic rows that must hold a word or run before it is in a lexicon, and its least ratio of rates.
 LEAST_ROWS, LEAST_RATIO = 8, 6.0
 
@@ -151,10 +153,14 @@ def held_out(doc_id, folds: int = FOLDS, held: int = HELD):
     return F.crc32(doc_id.cast("string")) % folds == held
 
 
-def training(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
-    """(doc_id, text, y) of the labelled rows that may be learned from; one label per doc_id, the largest."""
+def training(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, join: str | None = None) -> DataFrame:
+    """(doc_id, text, y) of the labelled rows that may be learned from; one label per doc_id, the largest.
+
+    join is a hint for the labels' side.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
-    return narrow(docs).join(known.filter(~held_out(F.col("doc_id"), folds, held)), "doc_id")
+    known = known.filter(~held_out(F.col("doc_id"), folds, held))
+    return narrow(docs).join(known.hint(join) if join else known, "doc_id")
 
 
 def sampled(rows: DataFrame, most: int, salt: str) -> DataFrame:
@@ -168,21 +174,25 @@ def sampled(rows: DataFrame, most: int, salt: str) -> DataFrame:
 def lexicons(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Words and character runs of toxic rows with the logarithm of their ratio; counted over all rows given."""
 
+    def told(rows, words, runs):
+        out = [("", 0, *rows)]
+        for kind, (no, yes) in enumerate((words, runs)):
+            out += [(w, kind, no[w], yes[w]) for w in no.keys() | yes.keys()]
+        for at in range(0, len(out), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out[at : at + 50_000], strict=True)], ["w", "kind", "no", "yes"])
+
     def count(batches):
-        words: list[Counter] = [Counter(), Counter()]
-        runs: list[Counter] = [Counter(), Counter()]
-        rows = [0, 0]
+        rows, words, runs = [0, 0], [Counter(), Counter()], [Counter(), Counter()]
         for b in batches:
             for text, y in zip(b.column("text"), b.column("y").to_pylist(), strict=True):
                 own = set(_WORD.findall(text.as_py().lower()))
                 rows[y > 0] += 1
                 words[y > 0].update(own)
                 runs[y > 0].update({w[i : i + RUN] for w in own for i in range(len(w) - RUN + 1)})
-        out = [("", 0, rows[0], rows[1])]
-        for kind, (no, yes) in enumerate((words, runs)):
-            out += [(w, kind, no[w], k) for w, k in yes.items()]
-        for at in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out[at : at + 50_000], strict=True)], ["w", "kind", "no", "yes"])
+                if sum(map(len, (*words, *runs))) > COUNTED_AT_ONCE:
+                    yield from told(rows, words, runs)
+                    rows, words, runs = [0, 0], [Counter(), Counter()], [Counter(), Counter()]
+        yield from told(rows, words, runs)
 
     counted = train.select("text", "y").mapInArrow(count, "w string, kind long, no long, yes long").groupBy("w", "kind").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
     found = counted.filter((F.col("yes") >= LEAST_ROWS) | (F.col("w") == "")).cache()
@@ -219,7 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
     """A model: lexicons, trees and calibration. Without labels, or with one class only, every score is the same."""
     train = training(docs, labels, "toxic", FOLDS, HELD)
     chosen = sampled(train, sample_rows, "toxicity").select("doc_id", "text", "y")
-    words_lex, runs_lex = lexicons(chosen)
+    # Both sides are shuffled: the labels have no bound, and texts need not be sorted.
+    words_lex, runs_lex = lexicons(training(docs, labels, "toxic", FOLDS, HELD, "shuffle_hash"))
     rows = featured(chosen, lambda t: features(t, words_lex, runs_lex), len(NAMES), ["doc_id", "y"]).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["y"] > 0 for r in rows], float)

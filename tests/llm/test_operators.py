@@ -184,6 +184,20 @@ def test_toxicity_held_out(spark):
     assert len(none) == 402 and len({r.score for r in none}) == 1
 
 
+def test_toxicity_lexicons_count_all_training_rows(spark, monkeypatch):
+    docs, labels = labelled(spark, lambda i, bad: prose(20, i, 80) + (" rareslur" if bad and i % 30 == 0 else ""), 1200)
+    model = toxicity.fit(docs, labels, sample_rows=60)
+    assert "rareslur" in model["words"] and "resl" in model["runs"]
+    # A word's other rows count wherever they stand, also where no toxic row does.
+    rows = [(f"slur w{i % 50}", 1) for i in range(40)] + [(f"slur w{i % 50}", 0) for i in range(10)] + [(f"w{i % 50}", 0) for i in range(390)]
+    whole = toxicity.lexicons(spark.createDataFrame(rows, "text string, y int").coalesce(1))
+    parted = spark.createDataFrame(spark.sparkContext.parallelize(rows, 20), "text string, y int")
+    assert set(whole[0]) == {"slur"} and np.isclose(whole[0]["slur"], np.log(1 / (11 / 401)))
+    assert toxicity.lexicons(parted) == whole
+    monkeypatch.setattr(toxicity, "COUNTED_AT_ONCE", 5)
+    assert toxicity.lexicons(parted) == whole
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(0)
     x = np.round(rng.normal(size=300), 1)
