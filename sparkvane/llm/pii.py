@@ -49,27 +49,30 @@ SPELLED = {
 }
 AT = ("at", "arroba", "arobase", "klammeraffe")
 DOT = ("dot", "punkt", "point", "punto")
-# Domain endings that a dot written as a word may stand before.
+# Domain endings that a dot written as a bare word may stand before; any may follow a dot in brackets.
 DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "de", "fr", "es", "eu", "uk", "at", "ch", "it", "us", "example", "test")
-#: Names that make a run of spelled digits worth a look; the others stand in any text.
-TELLING = ("zero", "three", "four", "five", "seven", "eight", "nine", "null", "zwei", "drei", "fünf", "sieben", "acht", "neun", "zéro", "deux", "trois", "quatre", "cinq", "huit", "neuf", "cero", "cuatro", "cinco", "siete", "ocho", "nueve")
 
 _ZERO_WIDTH = re.compile("[​-‍⁠﻿­]+")
 _names = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"\b(?:{_names})(?:[\s,-]+(?:{_names}|[0-9])\b){{3,}}", re.I)
+#: What every spelled run holds; found faster, as it begins with a separator.
+_SPELLED_HINT = re.compile(rf"[\s,-](?:{_names}|[0-9])(?:[\s,-]+(?:{_names}|[0-9])\b){{2}}", re.I)
 _SPELLED_PART = re.compile(rf"{_names}|[0-9]", re.I)
 _at, _dot = "|".join(AT), "|".join(DOT)
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
-_DOT_MARK = rf"(?:{_OPEN}(?:{_dot}|\.){_CLOSE}|\s+(?:{_dot})\s+)"
+_DOT_BRACKET = rf"{_OPEN}(?:{_dot}|\.){_CLOSE}"
+_DOT_MARK = rf"(?:{_DOT_BRACKET}|\s+(?:{_dot})\s+)"
 _ends = "|".join(DOMAIN_ENDS)
 _AT_DISGUISE = re.compile(
-    rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_at}|@){_CLOSE}|\s+(?:{_at})\s+(?=[A-Za-z0-9-]+(?:{_DOT_MARK}[A-Za-z0-9-]+){{0,4}}?{_DOT_MARK}(?:{_ends})\b)|\s+@\s+)(?=[A-Za-z0-9])",
+    rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_at}|@){_CLOSE}|\s+(?:{_at})\s+(?=[A-Za-z0-9-]+(?:{_DOT_MARK}[A-Za-z0-9-]+){{0,4}}?(?:{_DOT_MARK}(?:{_ends})|{_DOT_BRACKET}[A-Za-z]{{2,}})\b)|\s+@\s+)(?=[A-Za-z0-9])",
     re.I,
 )
 _DOT_DISGUISE = re.compile(
-    rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_dot}|\.){_CLOSE}|\s+(?:{_dot})\s+(?=(?:[A-Za-z0-9-]+{_DOT_MARK}){{0,4}}(?:{_ends})\b)|(?<=[0-9])\s+(?:{_dot})\s+(?=[0-9]))(?=[A-Za-z0-9])",
+    rf"(?<=[A-Za-z0-9])(?:{_DOT_BRACKET}|\s+(?:{_dot})\s+(?=(?:[A-Za-z0-9-]+{_DOT_MARK}){{0,4}}(?:{_ends})\b)|(?<=[0-9])\s+(?:{_dot})\s+(?=[0-9]))(?=[A-Za-z0-9])",
     re.I,
 )
+#: What every disguised at or dot holds: an at sign, a bracket, or, for an at written as a bare word too, a dot's name.
+_SIGN_HINT = re.compile(rf"[@\[({{<]|{_dot}", re.I)
 
 
 def _glyphs() -> tuple[dict[int, str], re.Pattern]:
@@ -166,10 +169,9 @@ def _chain(text: str) -> tuple[str, list[Rewritten]]:
     if not text.isascii():
         step(_ZERO_WIDTH, lambda _: "")
         step(_GLYPH_RUN, lambda s: s.translate(_GLYPHS))
-    low = text.lower()
-    if any(x in low for x in TELLING):
+    if _SPELLED_HINT.search(text):
         step(_SPELLED_RUN, lambda s: "".join(SPELLED.get(x.lower(), x) for x in _SPELLED_PART.findall(s)))
-    if "@" in text or any(x in low for x in (*DOT, "[at", "(at", "{at", "<at", "[ at", "( at", *AT[1:])):
+    if _SIGN_HINT.search(text):
         step(_AT_DISGUISE, lambda _: "@")
         step(_DOT_DISGUISE, lambda _: ".")
     return text, steps

@@ -147,6 +147,24 @@ def test_pii_disguises_map_back():
         assert pii.hidden_spans(clean, []) == []
 
 
+def test_pii_disguises_of_any_names_and_spacing():
+    for text, kind in [
+        ("plus one two one two six one six two one", "phone"),
+        ("plus seis uno dos tres seis un sept dos", "phone"),
+        ("plus oh one eins sechs six two one oh", "phone"),
+        ("john [  at ] example.com", "email"),
+        ("john [\tat] example.com", "email"),
+        ("john {  at } example [dot] museum", "email"),
+        ("john at example (.) com", "email"),
+        ("john at mail [.] example ( . ) museum", "email"),
+    ]:
+        for around in ("{}", "write {}, thanks"):
+            whole = around.format(text)
+            assert [(k, whole[a:b]) for k, a, b in pii.hidden_spans(whole, pii.plain_spans(whole))] == [(kind, text)], whole
+    for clean in ("look at the point here", "one, two, three", "meet at (one) place", "un dos tres", "at a point in time"):
+        assert pii.hidden_spans(clean, []) == []
+
+
 def test_pii_table(spark):
     texts = [*ODD, "a@b.co " * 3 + "+1 (017) 555-7713"]
     got = {r.doc_id: r for r in pii.find(frame(spark, texts)).collect()}
