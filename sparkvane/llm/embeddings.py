@@ -79,9 +79,11 @@ def range_join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BL
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).filter("vec_id is not null")
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    sound = rows.filter(F.col("e").isNotNull() & (F.size("e") > 0)).filter(finite & F.exists("e", lambda x: x != 0))
-    keyed = sound.select("vec_id", "e", F.xxhash64("e").alias("k1"), F.xxhash64(F.lit(1), "e").alias("k2"))
-    reps = stage(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("e").alias("e")), "vectors")
+    is_sound = F.coalesce(F.col("e").isNotNull() & (F.size("e") > 0) & finite & F.exists("e", lambda x: x != 0), F.lit(False))
+    keyed = rows.filter(is_sound).select("vec_id", "e", F.xxhash64("e").alias("k1"), F.xxhash64(F.lit(1), "e").alias("k2"))
+    # rep stands for a vector, not for a vec_id: different vectors may have one vec_id.
+    reps = keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("e").alias("e"))
+    reps = stage(reps.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     member = keyed.select("vec_id", "k1", "k2").join(reps.select("k1", "k2", "rep", "copies"), ["k1", "k2"]).select("vec_id", "rep", "copies")
 
     found_links, found_sums = None, None
@@ -91,10 +93,13 @@ def range_join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BL
         found_sums = sums if found_sums is None else found_sums.union(sums)
     if found_links is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    named = components(found_links)
-    whole = member.join(found_sums.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = whole.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    lone = rows.join(sound.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    named = reps.select("rep", "least").join(components(found_links).withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("rep", "least", F.coalesce("component", "rep").alias("component"))
+    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(first, "component").select("rep", "component_id")
+    whole = member.join(found_sums.groupBy("rep").agg(F.sum("n").alias("n")), "rep", "left").join(named, "rep")
+    linked = whole.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    lone = rows.filter(~is_sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(lone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
@@ -102,7 +107,7 @@ def _one_width(spark, reps: DataFrame, width: int, threshold: float, block: int)
     """(a, b) links that keep the components, and (rep, n) sums of links."""
     n = reps.count()
     radius = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
-    sample = reps.select("e").orderBy(F.xxhash64("rep"), "rep").limit(PIVOT_SAMPLE).collect()
+    sample = reps.select("e").orderBy("k1", "k2").limit(PIVOT_SAMPLE).collect()
     pivots = choose_pivots(_unit(np.array([r[0] for r in sample], np.float64)), int(np.clip(n // VECTORS_A_PIVOT, 1, MOST_PIVOTS)))
     held = spark.sparkContext.broadcast(pivots)
 

@@ -388,5 +388,12 @@ def test_embedding_range_join(spark, block, monkeypatch):
     assert embeddings.range_join(table.limit(0)).count() == 0
 
 
+def test_embedding_rows_with_one_id(spark):
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(7, a), (7, b), (7, None), (8, [0.0, 0.0, 0.0]), (8, c), (9, c), (3, [1.0, 0.2, 0.0]), (10, [0.0, 1.0, 0.0])]
+    got = sorted(tuple(r) for r in embeddings.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(3, 2, 3, True), (7, 0, 7, True), (7, 2, 3, False), (7, 2, 3, False), (8, 0, 8, True), (8, 1, 8, True), (9, 1, 8, False), (10, 0, 10, True)]
+
+
 def test_stage_reads_the_sessions_folder(spark):
     assert common.new_path(spark, "x").startswith(common.shared_dir(spark))
