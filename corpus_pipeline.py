@@ -15,16 +15,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier takes for good."""
+    """The documents that the quality classifier takes for good.
+
+    Rows without doc_id are left out, as no operator scores or packs them; of rows with one doc_id all stay if one is good.
+    """
     scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
     good = scored.groupBy("doc_id").agg(F.max("predicted").alias("good")).filter("good = 1").select("doc_id")
     return docs.join(good, "doc_id", "left_semi")
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    Rows that repeat its doc_id and text are exact copies, of which one stays; rows with its doc_id and another text stay.
+    Rows without doc_id are left out.
+    """
     others = jaccard.link_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    kept = docs.filter("doc_id is not null").join(others, "doc_id", "left_anti")
+    # Only the texts of repeated ids are compared.
+    repeated = kept.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

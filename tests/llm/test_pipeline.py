@@ -32,3 +32,12 @@ def test_pipeline(spark, tmp_path):
     assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
     assert all(want[i] == t for i, t in got.items()) and all(x[-1] == 0 for x in ids.values())
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    a, b, c = (prose(60, i, 3000) for i in range(3))
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (3, b), (4, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.keep_first_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(tuple(r)[:2] for r in got.collect()) == [(1, a), (3, b), (4, c)]
