@@ -18,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import new_path, partition_totals, stage
+from .common import drop_stage, new_path, partition_totals, stage
 from .packing import encode_documents
 
 MAGIC = b"HB01"
 BLOCK_IDS = 1 << 18
+#: Ids that a writing task gets, about.
+PARTITION_IDS = 1 << 22
 STEP = 128
 
 
@@ -146,15 +149,17 @@ def count_ids(staged: DataFrame, vocabulary: int) -> np.ndarray:
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, limit: int = 16) -> None:
     """Encodes documents with a tokenizer and writes them to `path` in ascending doc_id order.
 
-    A null or empty text is the end id alone. Rows with equal doc_id are all kept, ordered by their ids; an empty table
-    gives an empty file set.
+    A null or empty text is the end id alone. Rows with equal doc_id are all kept, ordered by size, first eight ids and
+    place in the table, and may be dealt to several tasks; an empty table gives an empty file set. A block takes a
+    document of any length whole, so it holds more than BLOCK_IDS ids only where one document does.
     """
     from .tokens import encoder
 
     spark = docs.sparkSession
     vocabulary = encoder(tokenizer).tokenizer.get_vocab_size() + 1
     staged = stage(encode_documents(docs, tokenizer, end_id), "huffman-ids")
-    lengths = limited_lengths(count_ids(staged, max(vocabulary, end_id + 1)), limit)
+    counts = count_ids(staged, max(vocabulary, end_id + 1))
+    lengths = limited_lengths(counts, limit)
     book = spark.sparkContext.broadcast(lengths)
 
     def run(batches):
@@ -182,10 +187,11 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, limit
         if held:
             yield flush()
 
-    parts = max(1, staged.rdd.getNumPartitions())
-    ordered = staged.select("doc_id", "n", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
-    ordered.mapInArrow(run, "part int, block long, at long, n long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    order = ["doc_id", "n", "first", "part", "at"]
+    ordered = staged.withColumn("first", F.substring("ids", 1, 16)).repartitionByRange(int(counts.sum()) // PARTITION_IDS + 1, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "n", "ids").mapInArrow(run, "part int, block long, at long, n long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
+    drop_stage(staged)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -10,16 +10,18 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from itertools import filterfalse
-
-import numpy as np
+from operator import attrgetter
 
 from .common import one_thread
 
 #: Words kept in each of the memo's two halves; the older half goes when the newer is full.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 500000
 _RUNS = re.compile(r"\s\s\s|\s\s\Z")
-_ENDS = {",", "."}
+#: Signs that follow letters as a piece of their own: ASCII ones but for the apostrophe, which may join letters behind it.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Fixed value: how the tokenizer that drops white space cuts its pieces.
+_DROPPING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ID = attrgetter("id")
 #: Marks a word with nothing before it. Texts that hold it go to the tokenizer whole.
 _BARE = "\x00"
 #: Letters before this are Latin ones that composition leaves as they are, and whose small letters are one character.
@@ -36,86 +38,70 @@ def _shown_bytes() -> dict[int, str]:
 _SHOWN = _shown_bytes()
 
 
+class _Memo(dict):
+    """Ids by word; a word that isn't here comes from the older half, or is learned."""
+
+    def __init__(self, older: dict, learn):
+        super().__init__()
+        self.older, self.learn = older, learn
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.learn(word)
+        self[word] = found
+        return found
+
+
 class WordEncoder:
     """encode(texts) gives, for each text, its ids as little-endian unsigned integers of `width` bytes."""
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         one_thread()
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.dtype = f"<u{self.width}"
         kind = json.loads(self.tokenizer.to_str())
-        pre = kind["pre_tokenizer"] or {}
-        self.spaced = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not kind["normalizer"]
+        pre, normal = kind["pre_tokenizer"] or {}, kind["normalizer"] or {}
+        plain = kind["model"]["type"] == "BPE" and not kind["model"].get("dropout")
+        self.spaced = plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not normal
         parts = [x["type"] for x in pre.get("pretokenizers", ())]
-        self.dropped = parts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed"
-        self.memo_words, self.new, self.old = memo_words, {}, {}
+        small = [x["type"] for x in normal.get("normalizers", ())] == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+        self.dropped = plain and small and parts == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed" and pre["pretokenizers"][0]["pattern"] == {"Regex": _DROPPING}
         self.code = {2: "H", 4: "I"}[self.width]
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = WhitespaceSplit()
-        self.mark = self.merges.encode(_SHOWN[10], add_special_tokens=False).ids[0]
-        self.ends = {x: self._pack(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in _ENDS}
-        self.line = self._pack(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.merged = self.tokenizer.model.tokenize
+        self.memo_words, self.memo = memo_words, _Memo({}, self._learn)
+        self.line = self._whole(["\n"])[0]
 
-    def _pack(self, ids: list[int]) -> bytes:
+    def _pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self._pack(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of plain letters, each of them one piece to the merges: all in one call, with marks between."""
-        shown = "\n".join(words).encode().decode("latin-1").translate(_SHOWN).replace(_SHOWN[10], f" {_SHOWN[10]} ")
-        ids = array(self.code, self.merges.encode_batch_fast([f"{shown} {_SHOWN[10]}"], add_special_tokens=False)[0].ids)
-        raw, w = ids.tobytes(), self.width
-        ends = (np.flatnonzero(np.frombuffer(raw, self.dtype) == self.mark) * w).tolist()
-        return [raw[a:b] for a, b in zip([0, *[e + w for e in ends]], ends)]  # noqa: B905
-
-    def _learn(self, words: set[str]) -> None:
-        """Puts words, keyed as _words gives them, into the memo."""
-        new, old, ends, spaced, dropped = self.new, self.old, self.ends, self.spaced, self.dropped
-        later, letters, other = [], [], []
-        stems: set[str] = set()
-        for w in words:
-            stem, lead, end = w, b"", b""
-            if w[-1:] in ends and w[-2:-1].isalpha() and w[-2] < _PLAIN:
-                stem, end = w[:-1], ends[w[-1]]
-            if spaced and stem[:1] == "\n" and len(stem) > 1:
-                stem, lead = _BARE + stem[1:], self.line
-            if stem is not w:
-                later.append((w, lead, stem, end))
-                if stem in new or stem in words or stem in stems:
-                    continue
-                if stem in old:
-                    new[stem] = old[stem]
-                    continue
-                stems.add(stem)
-            bare = stem[1:] if spaced and stem[:1] == _BARE else stem
-            (letters if bare.isalpha() and max(bare) < _PLAIN else other).append(stem)
-        if letters:
-            new.update(zip(letters, self._letters([x.lower() for x in letters] if dropped else [self._text(x) for x in letters]), strict=True))
-        if other:
-            new.update(zip(other, self._whole([self._text(x) for x in other]), strict=True))
-        for w, lead, stem, end in later:
-            new[w] = lead + new[stem] + end
-
-    def _text(self, key: str) -> str:
-        return key if self.dropped or key[:1] == "\n" else key[1:] if key[:1] == _BARE else " " + key
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not (self.spaced or self.dropped):
-            return self._whole(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.spaced and (_RUNS.search(t) or _BARE in t)]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        for at in range(0, len(texts), 256):
-            self._some(texts, range(at, min(at + 256, len(texts))), out)
-        return out
+    def _letters(self, word: str) -> bytes:
+        """Ids of plain letters, perhaps behind a space: one piece to the merges."""
+        shown = "\u0120" + word[1:] if word[:1] == " " else word
+        if not word.isascii():
+            shown = word.encode().decode("latin-1").translate(_SHOWN)
+        return self._pack(map(_ID, self.merged(shown)))
+
+    def _learn(self, word: str) -> bytes:
+        """The ids of a word, keyed as _words gives it; its letters and the signs behind them are words of their own."""
+        stem = word.rstrip(_SIGNS)
+        if stem and stem is not word and len(stem) < len(word) and stem[-1].isalpha() and stem[-1] < _PLAIN:
+            tail = word[len(stem) :]
+            return self.memo[stem] + self.memo[_BARE + tail if self.spaced else tail]
+        if self.dropped:
+            return self._letters(word.lower()) if word.isalpha() and max(word) < _PLAIN else self._whole([word])[0]
+        if word[:1] == "\n" and len(word) > 1:
+            return self.line + self.memo[_BARE + word[1:]]
+        bare = word[1:] if word[:1] == _BARE else word
+        text = word if word[:1] == "\n" else bare if bare is not word else " " + word
+        return self._letters(text) if bare.isalpha() and max(bare) < _PLAIN else self._whole([text])[0]
 
     def _words(self, text: str) -> list[str]:
         """A text's words as keys of the memo: after a line end with it, the first one marked, others follow a space."""
@@ -125,20 +111,19 @@ class WordEncoder:
         words[0] = _BARE + words[0]
         return words
 
-    def _some(self, texts: list[str], which: range, out: list) -> None:
-        words = {i: self._words(texts[i]) for i in which if out[i] is None}
-        new, old = self.new, self.old
-        missing: set[str] = set()
-        for w in words.values():
-            missing.update(filterfalse(new.__contains__, w))
-        for w in old.keys() & missing:
-            new[w] = old[w]
-        missing.difference_update(new)
-        self._learn(missing)
-        for i, w in words.items():
-            out[i] = b"".join(map(new.__getitem__, w))
-        if len(new) > self.memo_words:
-            self.new, self.old = {}, new
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not (self.spaced or self.dropped):
+            return self._whole(texts)
+        out = []
+        for text in texts:
+            if self.spaced and (_BARE in text or _RUNS.search(text)):
+                out += self._whole([text])
+            else:
+                out.append(b"".join(map(self.memo.__getitem__, self._words(text))))
+            if len(self.memo) > self.memo_words:
+                self.memo.older = {}
+                self.memo = _Memo(self.memo, self._learn)
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
