@@ -6,10 +6,8 @@ import os
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,11 +33,15 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return found
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared folder."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Removes the files of a stage that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stage_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(df.sparkSession, df._stage_path)
 
 
 def narrow(docs: DataFrame) -> DataFrame:
@@ -59,12 +61,6 @@ def partition_totals(df: DataFrame, part: str, amount: str) -> tuple[list[int],
     return [r[part] for r in rows], starts
 
 
-def arrow_type(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(T._parse_datatype_string(schema))
-
-
 def one_thread() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"

@@ -3,7 +3,8 @@
 Corpus side: the words and the character runs that toxic training rows hold far more often than others make two
 lexicons; they are counted over all training rows, and the result is bounded. Then dense features of a bounded sample
 of labelled rows go to the driver, where the trees are grown on histograms; a part of the sample that no tree saw
-calibrates them. Scoring is one pass over the texts.
+calibrates them. A row of the sample is looked up in lexicons that its own label and words didn't count for, so neither
+trees nor calibration see features that are better than those of a new text. Scoring is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -135,11 +136,11 @@ class Trees:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing fit of y on x by pooling neighbours; a little smoothed towards the mean."""
-    order = np.argsort(x, kind="stable")
+    at, place = np.unique(x, return_inverse=True)  # rows of one x are one block from the start
     blocks: list[list[float]] = []
-    for xi, yi in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([yi, 1.0, xi, xi])
-        while len(blocks) > 1 and (blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1] or blocks[-2][3] == blocks[-1][2]):
+    for xi, s, n in zip(at.tolist(), np.bincount(place, y, len(at)).tolist(), np.bincount(place, minlength=len(at)).tolist(), strict=True):
+        blocks.append([s, n, xi, xi])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, _, hi = blocks.pop()
             blocks[-1][0] += s
             blocks[-1][1] += n
@@ -153,26 +154,38 @@ def held_out(doc_id, folds: int = FOLDS, held: int = HELD):
     return F.crc32(doc_id.cast("string")) % folds == held
 
 
-def training(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, join: str | None = None) -> DataFrame:
+def training(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
     """(doc_id, text, y) of the labelled rows that may be learned from; one label per doc_id, the largest.
 
-    join is a hint for the labels' side.
+    Both sides are shuffled whatever their size: the labels have no bound, and texts need not be sorted.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.filter(~held_out(F.col("doc_id"), folds, held))
-    return narrow(docs).join(known.hint(join) if join else known, "doc_id")
+    return narrow(docs).join(known.hint("shuffle_hash"), "doc_id")
 
 
-def sampled(rows: DataFrame, most: int, salt: str) -> DataFrame:
-    """About `most` rows at the most, chosen by a hash of doc_id, whatever order they come in."""
-    n = rows.select("doc_id").count()
+def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, y, known, learn): every doc_id of the documents once, its largest label or null, whether the labels have
+    it at all, and whether its label may be learned from. No text is read or moved."""
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    joined = ids.join(given.withColumn("known", F.lit(True)), "doc_id", "left")
+    return joined.select("doc_id", "y", F.coalesce("known", F.lit(False)).alias("known"), (F.col("y").isNotNull() & ~held_out(F.col("doc_id"), folds, held)).alias("learn"))
+
+
+def sampled(ids: DataFrame, most: int, salt: str) -> DataFrame:
+    """About `most` ids at the most, chosen by a hash of doc_id, whatever order they come in."""
+    n = ids.count()
     if n <= most:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * 0.98 * most / n))
+        return ids
+    return ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * 0.98 * most / n))
 
 
-def lexicons(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and character runs of toxic rows with the logarithm of their ratio; counted over all rows given."""
+def counted(train: DataFrame) -> tuple[list[list[tuple[str, int, int]]], int, int]:
+    """Words and character runs that may be in a lexicon, each with its numbers of rows (text, no, yes), and all rows (no, yes).
+
+    Counted over all rows given; at most WORD_LEXICON words and RUN_LEXICON runs come back.
+    """
 
     def told(rows, words, runs):
         out = [("", 0, *rows)]
@@ -198,50 +211,77 @@ def lexicons(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     found = counted.filter((F.col("yes") >= LEAST_ROWS) | (F.col("w") == "")).cache()
     total = found.filter("w = ''").first()
     if total is None or not total["yes"]:
-        return {}, {}
-    ratio = (F.col("yes") / total["yes"]) / ((F.col("no") + 1) / (total["no"] + 1))
+        return [[], []], 0, 0
+    # One row less against it, so that words which reach the least ratio without a row's own count are here as well.
+    ratio = (F.col("yes") / total["yes"]) / (F.greatest("no", F.lit(1)) / (total["no"] + 1))
     good = found.filter("w <> ''").withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
+    score = (F.col("yes") / total["yes"]) / ((F.col("no") + 1) / (total["no"] + 1)) * F.sqrt("yes")
     out = []
     for kind, most in ((0, WORD_LEXICON), (1, RUN_LEXICON)):
-        rows = good.filter(F.col("kind") == kind).orderBy(F.desc(F.col("ratio") * F.sqrt("yes")), "w").limit(most).collect()
-        out.append({r["w"]: float(np.log(r["ratio"])) for r in rows})
+        rows = good.filter(F.col("kind") == kind).orderBy(F.desc(score), "w").limit(most).collect()
+        out.append([(r["w"], r["no"], r["yes"]) for r in rows])
     found.unpersist()
-    return out[0], out[1]
+    return out, total["no"], total["yes"]
+
+
+def weighted(found: list[tuple[str, int, int]], no: int, yes: int, own: int | None = None) -> dict[str, float]:
+    """The logarithm of each ratio that is large enough; own: as if a row with that label, which holds the word, weren't there."""
+    out = {}
+    for w, n, y in found:
+        y, all_yes = (y - 1, yes - 1) if own == 1 else (y, yes)
+        n, all_no = (n - 1, no - 1) if own == 0 else (n, no)
+        if y >= LEAST_ROWS and all_yes > 0 and n >= 0:
+            ratio = (y / all_yes) / ((n + 1) / (all_no + 1))
+            if ratio >= LEAST_RATIO:
+                out[w] = float(np.log(ratio))
+    return out
 
 
-def featured(rows: DataFrame, make, width: int, keep: list[str]) -> DataFrame:
-    """keep and x, the features of each text."""
-    fields = rows.schema
+def lexicons(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and character runs of toxic rows with the logarithm of their ratio; counted over all rows given."""
+    (words, runs), no, yes = counted(train)
+    return weighted(words, no, yes), weighted(runs, no, yes)
+
+
+def featured(docs: DataFrame, ids: DataFrame, make, width: int) -> DataFrame:
+    """(doc_id, y, x): the features make(text, y) of the documents with these (doc_id, y), a bounded number that is broadcast.
+
+    Of rows that share a doc_id the smallest features count, which are found where the rows are.
+    """
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                x = np.array([make(t.as_py()) for t in part.column("text")], dtype=np.float64).reshape(-1, width)
+                y = part.column("y").to_pylist()
+                x = np.array([make(t.as_py(), v) for t, v in zip(part.column("text"), y, strict=True)], dtype=np.float64).reshape(-1, width)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), flat], [*keep, "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), flat], ["doc_id", "y", "x"])
 
-    kept = ", ".join(f"{c} {fields[c].dataType.simpleString()}" for c in keep)
-    return rows.select("text", *keep).mapInArrow(run, f"{kept}, x array<double>")
+    rows = narrow(docs).join(F.broadcast(ids.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id").select("doc_id", "text", "y")
+    return rows.mapInArrow(run, "doc_id long, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """A model: lexicons, trees and calibration. Without labels, or with one class only, every score is the same."""
-    train = training(docs, labels, "toxic", FOLDS, HELD)
-    chosen = sampled(train, sample_rows, "toxicity").select("doc_id", "text", "y")
-    # Both sides are shuffled: the labels have no bound, and texts need not be sorted.
-    words_lex, runs_lex = lexicons(training(docs, labels, "toxic", FOLDS, HELD, "shuffle_hash"))
-    rows = featured(chosen, lambda t: features(t, words_lex, runs_lex), len(NAMES), ["doc_id", "y"]).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    """A model: lexicons, trees and calibration. Without labels, or with one class only, every score is the same.
+
+    Labels without doc_id or value count as none, and of several for one doc_id the largest counts; columns that both
+    tables have don't meet. A null text is an empty one. The sample is chosen by doc_id, so ties and row order don't matter.
+    """
+    chosen = sampled(labelled_ids(docs, labels, "toxic", FOLDS, HELD).filter("learn").select("doc_id", "y"), sample_rows, "toxicity")
+    (words, runs), no, yes = counted(training(docs, labels, "toxic", FOLDS, HELD))
+    without = [(weighted(words, no, yes, own), weighted(runs, no, yes, own)) for own in (0, 1)]
+    rows = featured(docs, chosen, lambda t, y: features(t, *without[int(y > 0)]), len(NAMES)).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     x, y = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["y"] > 0 for r in rows], float)
     last = np.arange(len(rows)) % 4 == 3
     trees = Trees().fit(x[~last], y[~last])
     knots = isotonic(trees.raw(x[last]), y[last])
-    return {"words": words_lex, "runs": runs_lex, "trees": trees, "knots": knots}
+    return {"words": weighted(words, no, yes), "runs": weighted(runs, no, yes), "trees": trees, "knots": knots}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row with a doc_id; a null text is an empty one."""
+    """doc_id, held_out, score, predicted for every row with a doc_id; a null text is an empty one, an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
