@@ -15,7 +15,7 @@ of all documents share, has its windows counted by hash instead, which needs no
 from __future__ import annotations
 
 import hashlib
-import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,14 @@ GRAM = 32
 SEGMENTS_A_CELL, CELL_BYTES = 2048, 1 << 20
 _PLACE_BITS = 24
 _PIECE = 1 << 18
-_BYTES = np.random.default_rng(12345).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTES = np.random.default_rng(12345).integers(1, 2**63, (3, 256), dtype=np.uint64) | np.uint64(1)
+#: Odd bases of the two polynomials behind a digest.
+_BASES = (0xD1342543DE82EF95, 0x9E3779B97F4A7C15)
+_POWERS: list[np.ndarray] = []
 
 
 def _gram_hashes(x: np.ndarray) -> np.ndarray:
-    h, base = _BYTES[x], 0x9E3779B97F4A7C15
+    h, base = _BYTES[0][x], 0x9E3779B97F4A7C15
     step = 1
     while step < GRAM:
         h = h[:-step] * np.uint64(base) + h[step:]
@@ -52,33 +55,62 @@ def _windows_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(key) - width + 1], m[width - have :]) if width > have else m
 
 
-def segments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, anchor): segments in bytes, each the union of its windows, and the hash of its anchor."""
-    out = []
-    for at in range(0, max(len(data) - length + 1, 0), _PIECE):
-        x = np.frombuffer(data, np.uint8, min(_PIECE + length - 1, len(data) - at), at)
+def _digests(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of bytes, from the prefix sums of two polynomials over random values of the bytes."""
+    if not _POWERS:
+        _POWERS.extend(np.cumprod(np.r_[np.uint64(1), np.full(4 * _PIECE - 1, b, np.uint64)]) for b in _BASES)
+    out = np.zeros(len(start), np.uint64)
+    for values, powers in zip(_BYTES[1:], _POWERS, strict=True):
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(values[x] * powers[: len(x)], out=sums[1:])
+        found = (sums[end] - sums[start]) * powers[len(powers) - 1 - start]
+        found = (found ^ (found >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out = (out ^ (out << np.uint64(21))) + (found ^ (found >> np.uint64(32)))
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+def _grouped(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, place, part): the parts of all texts in groups of about _PIECE bytes; a window lies in one part."""
+    group, size = [], 0
+    for i, data in enumerate(texts):
+        for at in range(0, max(len(data) - length + 1, 0), _PIECE):
+            group.append((i, at, data[at : at + _PIECE + length - 1]))
+            size += len(group[-1][2])
+            if size >= _PIECE:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, start, end, anchor, digest): segments, each the union of its windows, with the hash of its anchor and of its bytes."""
+    out = [[np.zeros(0, np.int64)] * 5]
+    for group in _grouped(texts, length):
+        x = np.frombuffer(b"".join(p for *_, p in group), np.uint8)
+        size = np.array([len(p) for *_, p in group])
+        begin = np.cumsum(size) - size
         h = _gram_hashes(x)
         mask = np.uint64((1 << _PLACE_BITS) - 1)
         least = _windows_least((h & ~mask) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
         place = (least & mask).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        # A segment ends where the anchor changes and where the windows of a part end; windows across parts are dropped.
+        stop = begin + size - length + 1
+        new = np.r_[True, place[1:] != place[:-1]]
+        new[begin] = True
+        new[stop[stop < len(new)]] = True
+        first = np.flatnonzero(new)
         last = np.r_[first[1:], len(place)] - 1
-        out.append((at + first, at + last + length, h[place[first]]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        part = np.searchsorted(begin, first, side="right") - 1
+        own = first < stop[part]
+        first, last, part = first[own], last[own], part[own]
+        which, at = np.array([i for i, *_ in group]), np.array([a for _, a, _ in group])
+        shift = at[part] - begin[part]
+        out.append([which[part], first + shift, last + length + shift, h[place[first]].view(np.int64), _digests(x, first, last + length)])
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _digest(x: bytes) -> int:
-    return struct.unpack("<q", hashlib.blake2b(x, digest_size=8).digest())[0]
-
-
-def _named(data: bytes):
-    """Segments with their anchors and content digests."""
-    start, end, anchor = segments(data)
-    return start.tolist(), end.tolist(), anchor.view(np.int64).tolist(), [_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-
-
 class RunIndex:
     """The Burrows-Wheeler transform of some strings as runs, with samples at run ends.
 
@@ -175,9 +207,14 @@ def long_matches(strings: list[bytes], length: int = LENGTH) -> list[bytes]:
     return [_ranges(m[a : a + len(s) - length + 1] >= length) for a, s in zip(index.starts, strings, strict=True)]
 
 
-def _bytes_of(column):
-    for t in column:
-        yield t.as_py().encode("utf-8", "surrogatepass")
+def _bytes_of(column) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+
+
+def _slices(batches, rows: int = 2000):
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -186,40 +223,52 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
+    """(doc_id, tk, h, s, n): how often each different segment stands in each row."""
+
     def run(batches):
-        for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, tk, data in zip(b.column("doc_id").to_pylist(), b.column("tk").to_pylist(), _bytes_of(b.column("text")), strict=True):
-                _, _, anchor, digest = _named(data)
-                seen: dict[tuple[int, int], int] = {}
-                for k in zip(anchor, digest, strict=True):
-                    seen[k] = seen.get(k, 0) + 1
-                for (h, s), n in seen.items():
-                    for c, v in zip(cols, (doc, tk, h, s, n), strict=True):
-                        c.append(v)
-                if len(cols[0]) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "tk", "h", "s", "n"])
-                    cols = [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "tk", "h", "s", "n"])
+        for b in _slices(batches):
+            text, _, _, h, s = segments(_bytes_of(b.column("text")))
+            order = np.lexsort((s, h, text))
+            text, h, s = text[order], h[order], s[order]
+            new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (s[1:] != s[:-1])]) if len(text) else text
+            n = np.diff(np.r_[new, len(text)])
+            doc, tk = (b.column(c).to_numpy(zero_copy_only=False)[text[new]] for c in ("doc_id", "tk"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, tk, h[new], s[new], n)], ["doc_id", "tk", "h", "s", "n"])
 
     return docs.mapInArrow(run, "doc_id long, tk long, h long, s long, n long")
 
 
+def _marked(b: pa.RecordBatch, column: str) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, data, start, end, anchor, mark) of each row with marks: its segments that are among them, and which mark each is."""
+    marks = b.column(column)
+    rows = np.flatnonzero(np.asarray(marks.is_valid()))
+    texts = _bytes_of(b.column("text").take(pa.array(rows)))
+    text, start, end, h, s = segments(texts)
+    cuts, offsets = np.searchsorted(text, np.arange(len(rows) + 1)), marks.offsets.to_numpy()
+    names = marks.values.field("s").to_numpy(zero_copy_only=False)
+    for k, i in enumerate(rows.tolist()):
+        own = slice(cuts[k], cuts[k + 1])
+        low, high = offsets[i], offsets[i + 1]
+        order = low + np.argsort(names[low:high], kind="stable")
+        found = np.minimum(np.searchsorted(names[order], s[own]), len(order) - 1)
+        hit = names[order[found]] == s[own] if len(order) else np.zeros(len(found), bool)
+        yield i, texts[k], start[own][hit], end[own][hit], h[own][hit], order[found[hit]]
+
+
 def _extract(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, s, hot, body) of the wanted (doc_id, tk, h, s, hot) segments."""
     lists = wanted.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "hot")).alias("wanted"))
     few = docs.join(lists, ["doc_id", "tk"])
 
     def run(batches):
-        for b in batches:
-            out = []
-            for data, want in zip(_bytes_of(b.column("text")), b.column("wanted").to_pylist(), strict=True):
-                hot = {w["s"]: w["hot"] for w in want}
-                for a, z, h, s in zip(*_named(data), strict=True):
-                    if s in hot:
-                        out.append((h, s, hot.pop(s), data[a:z]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["h", "s", "hot", "body"])
+        for b in _slices(batches):
+            out: list[list] = [[], [], [], []]
+            s, hot = (b.column("wanted").values.field(c).to_numpy(zero_copy_only=False) for c in ("s", "hot"))
+            for _, data, start, end, h, mark in _marked(b, "wanted"):
+                _, once = np.unique(mark, return_index=True)
+                for c, v in zip(out, (h[once], s[mark[once]], hot[mark[once]], [data[x:y] for x, y in zip(start[once].tolist(), end[once].tolist(), strict=True)]), strict=True):
+                    c.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["h", "s", "hot", "body"])
 
     return few.select("text", "wanted").mapInArrow(run, "h long, s long, hot boolean, body binary").dropDuplicates(["h", "s"])
 
@@ -240,11 +289,16 @@ def _counted(bodies: DataFrame) -> DataFrame:
     """(h, s, ranges) by counting the windows of anchors with too many segments for a cell."""
 
     def run(batches):
-        for b in batches:
-            for h, s, body in zip(b.column("h").to_pylist(), b.column("s").to_pylist(), b.column("body").to_pylist(), strict=True):
-                n = len(body) - LENGTH + 1
-                w = [_digest(body[i : i + LENGTH]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([h] * n), pa.array([s] * n), pa.array(range(n), pa.int64()), pa.array(w, pa.int64())], ["h", "s", "i", "w"])
+        for b in _slices(batches, 1000):
+            bodies = b.column("body").to_pylist()
+            size = np.array([len(x) for x in bodies])
+            n = size - LENGTH + 1
+            begin, row = np.cumsum(size) - size, np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            start = begin[row] + i
+            w = _digests(np.frombuffer(b"".join(bodies), np.uint8), start, start + LENGTH)
+            h, s = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("h", "s"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (h, s, i, w)], ["h", "s", "i", "w"])
 
     windows = stage(bodies.select("h", "s", "body").mapInArrow(run, "h long, s long, i long, w long"), "windows")
     again = windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
@@ -287,27 +341,29 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     by_doc = common.join(marks, ["h", "s"]).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("s", "ranges")).alias("marks"))
 
     def run(batches):
-        for b in batches:
-            out = []
-            for doc, data, marks in zip(b.column("doc_id").to_pylist(), _bytes_of(b.column("text")), b.column("marks").to_pylist(), strict=True):
-                gone = np.zeros(len(data) + 1, np.int32)
-                if marks:
-                    of = {m["s"]: m["ranges"] for m in marks}
-                    for a, z, _, s in zip(*_named(data), strict=True):
-                        if s in of:
-                            if of[s] is None:
-                                gone[a] += 1
-                                gone[z] -= 1
-                            else:
-                                for x, y in np.frombuffer(of[s], "<u2").reshape(-1, 2).tolist():
-                                    gone[a + x] += 1
-                                    gone[a + y - 1 + LENGTH] -= 1
-                flags = np.cumsum(gone[:-1]) > 0
-                kept = np.frombuffer(data, np.uint8)[~flags].tobytes()
-                out.append((doc, len(data), int(flags.sum()), int((np.diff(np.r_[False, flags].astype(np.int8)) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
-            if out:
-                types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        for b in _slices(batches):
+            names, out = b.column("doc_id").to_pylist(), [None] * b.num_rows
+            ranges = b.column("marks").values.field("ranges")
+
+            def told(i, data, flags):
+                kept = data if flags is None else np.frombuffer(data, np.uint8)[~flags].tobytes()
+                spans = 0 if flags is None else int((np.diff(np.r_[False, flags].astype(np.int8)) == 1).sum())
+                out[i] = (names[i], len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None)
+
+            for i, data, start, end, _, mark in _marked(b, "marks"):
+                part = np.asarray(ranges.take(pa.array(mark)).is_valid()) if len(mark) else np.zeros(0, bool)
+                size = len(data) + 1
+                pairs = [np.stack([start[~part], end[~part]], axis=1)]
+                for at, m in zip(start[part].tolist(), mark[part].tolist(), strict=True):
+                    pairs.append(at + np.frombuffer(ranges[m].as_py(), "<u2").reshape(-1, 2).astype(np.int64) + (0, LENGTH - 1))
+                opened, closed = np.concatenate(pairs).T
+                gone = np.bincount(opened, minlength=size) - np.bincount(closed, minlength=size)
+                told(i, data, np.cumsum(gone[:-1]) > 0)
+            rest = [i for i, x in enumerate(out) if x is None]
+            for i, data in zip(rest, _bytes_of(b.column("text").take(pa.array(rest, pa.int64()))), strict=True):
+                told(i, data, None)
+            types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = docs.join(by_doc, ["doc_id", "tk"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
