@@ -6,9 +6,8 @@ unique. Neighbouring windows with the same anchor occurrence form a segment, and
 
 1. Segments whose anchor hash occurs once are done. 2. A segment that occurs as a whole again is repeated throughout.
 3. Where an anchor has different segments, one of each goes to the anchor's cell, where a run-length index is built:
-the Burrows-Wheeler transform as runs, with the text position and the common prefix sampled at both ends of each run.
-Streaming over the text from the samples gives every position's matching statistic, and those of 200 or more are long
-matches. An anchor with more different segments than a cell may hold, such as at the edge of a passage that a third
+the Burrows-Wheeler transform as runs, with common prefixes sampled at both ends of each run. Streaming the segments
+through the runs gives every position's matching statistic, and those of 200 or more are long matches. An anchor with more different segments than a cell may hold, such as at the edge of a passage that a third
 of all documents share, has its windows counted by hash instead, which needs no cell. 4. Marks go back to documents.
 """
 
@@ -112,10 +111,12 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
 
 
 class RunIndex:
-    """The Burrows-Wheeler transform of some strings as runs, with samples at run ends.
+    """The Burrows-Wheeler transform of some strings as runs, with samples at run ends; nothing else is kept of the strings.
 
-    heads and tails: text positions of the first and last suffix of each run, in text order, with the length that the
-    suffix has in common with the one before, or behind, it in suffix order.
+    A run is a symbol, its first row and the row that this one's text position is preceded at. Samples are kept of each
+    run's two ends: what the suffix that is one longer has in common with its neighbour above, or below. Within a run that
+    is one more than for the suffix before, as neighbours stay neighbours. So streaming a string from its end to its start
+    through the runs gives each position's longest prefix that stands elsewhere too: its matching statistic.
     """
 
     def __init__(self, strings: list[bytes]):
@@ -126,15 +127,22 @@ class RunIndex:
             self.starts.append(n)
             n += len(s) + 4
         text = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
-        self.n = n
+        self.n, self.sizes = n, np.array([len(s) for s in strings], np.int64)
+        if not n:
+            self.symbols, self.begin, self.lengths = text, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         ranks, order = self._sort(text)
-        before = np.where(order > 0, text[order - 1], np.uint16(0xFFFF)) if n else text
-        new = np.r_[True, before[1:] != before[:-1]] if n else np.zeros(0, bool)
-        head = np.flatnonzero(new)
-        self.symbols, self.lengths = before[head], np.diff(np.r_[head, n])
-        tail = np.r_[head[1:], n] - 1 if n else head
-        self.heads = self._samples(text, ranks, order, head, head - 1)
-        self.tails = self._samples(text, ranks, order, tail, tail + 1)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        before = np.where(order > 0, text[order - 1], np.uint16(0xFFFF))
+        self.begin = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
+        self.symbols, self.lengths = before[self.begin], np.diff(np.r_[self.begin, n])
+        last = self.begin + self.lengths - 1
+        to_head, to_last = place[order[self.begin] - 1], place[order[last] - 1]
+        self.to = to_head
+        self.above, self.below = (self._common(text, ranks, order, r, r + d) for r, d in ((to_head, -1), (to_last, 1)))
+        self.rows = place[np.array(self.starts) + self.sizes]
+        self.up, self.down = (self._common(text, ranks, order, self.rows, self.rows + d) for d in (-1, 1))
 
     @staticmethod
     def _sort(text: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
@@ -160,37 +168,38 @@ class RunIndex:
             span *= 2
 
     @staticmethod
-    def _samples(text, ranks, order, at, other) -> tuple[np.ndarray, np.ndarray]:
-        place = order[at]
-        common = np.zeros(len(at), np.int64)
-        ok = np.flatnonzero((other >= 0) & (other < len(order)))
-        a, b = place[ok].copy(), order[other[ok]].copy()
-        n = len(order)
-        for span, rank in reversed(ranks):
+    def _common(text, ranks, order, row, other) -> np.ndarray:
+        """How many symbols the suffixes of two rows have in common; 0 where the other row isn't there."""
+        common, n = np.zeros(len(row), np.int64), len(order)
+        ok = np.flatnonzero((other >= 0) & (other < n))
+        start = order[row[ok]]
+        a, b = start.copy(), order[other[ok]].copy()
+        for span, rank in [*reversed(ranks), *[(1, text)] * 3]:
             both = np.maximum(a, b) < n
             same = np.zeros(len(a), bool)
             same[both] = rank[a[both]] == rank[b[both]]
             a[same] += span
             b[same] += span
-        for _ in range(3):
-            both = np.maximum(a, b) < n
-            same = np.zeros(len(a), bool)
-            same[both] = text[a[both]] == text[b[both]]
-            a[same] += 1
-            b[same] += 1
-        common[ok] = a - place[ok]
-        by_place = np.argsort(place)
-        return place[by_place], common[by_place]
+        common[ok] = a - start
+        return common
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position, the longest prefix of its suffix that stands elsewhere too."""
+        """For each position, the longest prefix of its suffix that stands elsewhere too; all strings are streamed at once."""
+        out = np.zeros(self.n, np.int64)
         if not self.n:
-            return np.zeros(0, np.int64)
-        out, i = np.zeros(self.n, np.int64), np.arange(self.n)
-        for place, common in (self.heads, self.tails):
-            k = np.searchsorted(place, i, side="right") - 1
-            known = k >= 0
-            out[known] = np.maximum(out[known], common[k[known]] - (i[known] - place[k[known]]))
+            return out
+        live = np.argsort(-self.sizes, kind="stable")
+        row, up, down = self.rows[live], self.up[live], self.down[live]
+        at, sizes = np.array(self.starts)[live] + self.sizes[live], self.sizes[live]
+        for step in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
+            k = int(np.searchsorted(-sizes, -step, side="right"))
+            row, up, down = row[:k], up[:k], down[:k]
+            run = np.searchsorted(self.begin, row, side="right") - 1
+            inside = row - self.begin[run]
+            up = np.where(inside == 0, self.above[run], up + 1)
+            down = np.where(inside == self.lengths[run] - 1, self.below[run], down + 1)
+            row = self.to[run] + inside
+            out[at[:k] - step] = np.maximum(up, down)
         return out
 
 
