@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import json
 import os
+import threading
+import time
+from collections import defaultdict
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,6 +24,7 @@ from .operators.grouping import group_by_centroids, grouped_ids, resolve_vectors
 from .operators.tracker import Scene
 from .plans import catalog
 from .plans.config import DEFAULT_TAG, DbConfig, checked_prefix
+from .sources import wal
 
 
 def _rows(ids, vectors, dimension: int, chunks) -> pd.DataFrame:
@@ -77,17 +83,37 @@ class FlatDB:
         found = _search.flat_knn(self.vectors, query, k, self.config.space).join(newest, "id").orderBy("distance", "id")
         return [[r["id"], r["score"], r["newest"]] for r in found.collect()]
 
+    def _path(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def save(self, path: str) -> None:
-        if self.vectors is not None:
-            self.vectors.write.mode("overwrite").parquet(path)
+        """Writes beside the path, then swaps, so that a loaded table may be saved over itself and a crash loses nothing."""
+        if self.vectors is None:
+            return
+        path = path.rstrip("/")
+        self.vectors.write.mode("overwrite").parquet(f"{path}.new")
+        (fs, here), (_, new), (_, old) = self._path(path), self._path(f"{path}.new"), self._path(f"{path}.old")
+        fs.delete(old, True)
+        if fs.exists(here):
+            fs.rename(here, old)
+        fs.rename(new, here)
+        self.load(path)
+        fs.delete(old, True)
 
     def load(self, path: str) -> FlatDB:
+        """Reads what was saved; after a crash between the steps of a swap, the table that was there before."""
+        path = path.rstrip("/")
+        (fs, here), (_, old) = self._path(path), self._path(f"{path}.old")
+        if not fs.exists(here) and fs.exists(old):
+            fs.rename(old, here)
         self.vectors = self.spark.read.parquet(path)
         self.size = self.vectors.count()
         return self
 
 
 _OPEN: dict[tuple[str, str], PartitionedDB] = {}
+_LOCKS: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 
 def partitioned_db(spark: SparkSession, path: str = ".", prefix: str = "vdb", **options) -> PartitionedDB:
@@ -101,9 +127,13 @@ def partitioned_db(spark: SparkSession, path: str = ".", prefix: str = "vdb", **
 class PartitionedDB:
     """Vectors in `<path>/<prefix>/vectors`, one folder a batch, so that a batch written again replaces itself.
 
-    Batches are visible once written. One process writes at a time; readers see whole batches.
+    Beside them `manifest` has a row for each bucket of a batch: bounds, size and last arrival. Bounds, listings and what a
+    new batch must know come from there, so storing a batch reads no stored vector. A batch is visible once its manifest
+    is written; one process writes at a time, under a lock that a process which died leaves for LOCK_MS at most.
     """
 
+    LOCK_MS = 600_000
+
     def __init__(self, spark: SparkSession, path: str = ".", prefix: str = "vdb", **options):
         self.spark, self.base, self.prefix = spark, path, checked_prefix(prefix)
         self.root = f"{path.rstrip('/')}/{prefix}"
@@ -111,6 +141,7 @@ class PartitionedDB:
         self._write("config", self.config.to_dict())
         self.closed = False
         self.error: str | None = None
+        self.recover()
 
     # Small state as text files through Spark's file systems.
     def _fs(self, path: str):
@@ -140,54 +171,197 @@ class PartitionedDB:
         rows = self._read("tags") or [[0, DEFAULT_TAG]]
         return self.spark.createDataFrame([tuple(r) for r in rows], "custom_index int, tag string")
 
+    def _batches(self, kind: str) -> list[str]:
+        """Names of the batches whose `vectors` or `manifest` are written to the end."""
+        fs, p = self._fs(f"{self.root}/{kind}")
+        if not fs.exists(p):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        done = [n for n in names if n.startswith("batch=") and fs.exists(self._fs(f"{self.root}/{kind}/{n}/_SUCCESS")[1])]
+        return sorted(n.removeprefix("batch=") for n in done)
+
+    def recover(self) -> list[str]:
+        """Ends a compaction that was cut short and writes the manifests of batches that were stored but not entered, as
+        after a crash; gives their names."""
+        self._end_compaction()
+        missing = sorted(set(self._batches("vectors")) - set(self._batches("manifest")))
+        for batch in missing:
+            self._enter(batch)
+        return missing
+
+    def _enter(self, batch: str) -> None:
+        rows = self.spark.read.schema(self.STORED).parquet(f"{self.root}/vectors/batch={batch}")
+        rows = catalog.manifest(rows, F.max("seq").alias("last_seq"))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
+
+    @contextlib.contextmanager
+    def _writing(self):
+        """The only writer of this folder meanwhile; other threads of this process wait, other processes are refused."""
+        with _LOCKS[self.root]:
+            with self._locked():
+                yield
+
+    @contextlib.contextmanager
+    def _locked(self):
+        fs, p = self._fs(f"{self.root}/writer.lock")
+        if not fs.createNewFile(p):
+            if time.time() * 1000 - fs.getFileStatus(p).getModificationTime() < self.LOCK_MS:
+                raise BlockingIOError(f"another process writes to {self.root}")
+            fs.delete(p, False)
+            if not fs.createNewFile(p):
+                raise BlockingIOError(f"another process writes to {self.root}")
+        try:
+            yield
+        finally:
+            fs.delete(p, False)
+
+    STORED = "id long, embedding array<float>, chunk string, ts_ms long, tag string, seq long, partition_key string, ts_partition string, custom_index int, bucket_number int"
+
     @property
     def routed(self) -> DataFrame | None:
-        fs, p = self._fs(f"{self.root}/vectors")
-        if not fs.exists(p):
+        """The stored vectors; filters on ts_partition, custom_index and bucket_number choose folders."""
+        names = self._batches("manifest")
+        if not names:
             return None
-        stored = self.spark.read.option("basePath", f"{self.root}/vectors").schema(
-            "id long, embedding array<float>, chunk string, ts_ms long, tag string, seq long, partition_key string, batch string, ts_partition string, custom_index int, bucket_number int"
-        )
-        return stored.parquet(f"{self.root}/vectors")
+        read = self.spark.read.option("basePath", f"{self.root}/vectors").schema(self.STORED + ", batch string")
+        return read.parquet(*[f"{self.root}/vectors/batch={n}" for n in names])
+
+    @property
+    def entered(self) -> DataFrame | None:
+        """The manifest's rows by batch."""
+        if not self._batches("manifest"):
+            return None
+        return self.spark.read.schema(
+            "partition_key string, ts_partition string, custom_index int, bucket_number int, ts_start long, ts_end long, element_count long, last_seq long, batch string"
+        ).parquet(f"{self.root}/manifest")
 
     @property
     def manifest(self) -> DataFrame | None:
-        rows = self.routed
-        return None if rows is None else catalog.manifest(rows)
+        rows = self.entered
+        return None if rows is None else rows.groupBy("partition_key", "ts_partition", "custom_index", "bucket_number").agg(
+            F.min("ts_start").alias("ts_start"), F.max("ts_end").alias("ts_end"), F.sum("element_count").alias("element_count")
+        )
 
     def add_batch(self, rows: DataFrame, batch: str) -> int:
-        """Stores rows (id, embedding, chunk, ts_ms, tag and, if any, seq) under a batch's name, replacing what it held."""
+        """Stores rows (id, embedding, chunk, ts_ms, tag and, if any, seq) under a batch's name, replacing what it held.
+
+        Only the manifest is read of what is stored. A batch of bad rows raises and stores nothing.
+        """
         self._opened()
         try:
-            stored = self.routed
-            others = None if stored is None else stored.filter(F.col("batch") != batch)
-            offset = 0 if others is None else others.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
-            seq = F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
-            plain = rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce("chunk", F.lit("")).alias("chunk"), F.coalesce("ts_ms", F.lit(0)).cast("long").alias("ts_ms"), F.coalesce("tag", F.lit(DEFAULT_TAG)).alias("tag"), (seq + F.lit(offset)).alias("seq"))
-            plain = plain.persist()
-            if plain.filter((F.size("embedding") != self.config.dimension) | (F.col("id") < 0)).limit(1).count():
+            with self._writing():
+                return self._add(rows, batch)
+        except (ValueError, BlockingIOError):
+            raise
+        except Exception as e:
+            self.error = str(e)
+            raise
+
+    def clear_error(self) -> None:
+        """Lets a database be used again after an engine error; batches half written are not entered, so not seen."""
+        self.error = None
+        self.recover()
+
+    def _add(self, rows: DataFrame, batch: str) -> int:
+        entered = self.entered
+        others = None if entered is None else entered.filter(F.col("batch") != batch)
+        offset = 0 if others is None else others.agg(F.coalesce(F.max("last_seq") + 1, F.lit(0))).first()[0]
+        seq = F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
+        plain = rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce("chunk", F.lit("")).alias("chunk"), F.coalesce("ts_ms", F.lit(0)).cast("long").alias("ts_ms"), F.coalesce("tag", F.lit(DEFAULT_TAG)).alias("tag"), (seq + F.lit(offset)).alias("seq"))
+        plain = plain.persist()
+        try:
+            wrong = F.coalesce((F.size("embedding") != self.config.dimension) | (F.col("id") < 0), F.lit(True))
+            told = plain.agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong")).first()
+            if told["wrong"]:
                 raise ValueError(f"a row's vector isn't of {self.config.dimension} components, or its id is below 0")
             tags = catalog.with_new_tags(self.tags, plain)
             self._write("tags", sorted([r[0], r[1]] for r in tags.select("custom_index", "tag").collect()))
-            filled = None if others is None else others.groupBy("ts_partition", "custom_index").agg(F.count("*").alias("held"))
+            filled = None if others is None else others.groupBy("ts_partition", "custom_index").agg(F.sum("element_count").alias("held"))
             routed = catalog.route(plain, self.tags, self.config.granularity, self.config.max_elements, filled)
-            n = plain.count()
+            fs, p = self._fs(f"{self.root}/manifest/batch={batch}")
+            fs.delete(p, True)
             routed.repartition("ts_partition", "custom_index", "bucket_number").write.mode("overwrite").partitionBy("ts_partition", "custom_index", "bucket_number").parquet(f"{self.root}/vectors/batch={batch}")
+            self._enter(batch)
+            return told["n"]
+        finally:
             plain.unpersist()
-            return n
-        except ValueError:
-            raise
-        except Exception as e:
-            self.error = str(e)
-            raise
+
+    def import_logs(self, path: str) -> int:
+        """Stores the records of all logs below a path as one batch and removes the logs; 0 without any.
+
+        The batch is named by the logs' names, so a run that died before it removed them replaces its rows. A log that ends
+        early raises, and all logs stay.
+        """
+        found = wal.read(self.spark, path, self.config.dimension)
+        names = [r[0] for r in found.select("log").distinct().orderBy("log").collect()]
+        if not names:
+            return 0
+        starts, at = {}, 0
+        for r in found.groupBy("log").agg(F.count("*").alias("n")).orderBy("log").collect():
+            starts[r["log"]], at = at, at + r["n"]
+        begin = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("log"))
+        rows = found.withColumn("seq", (begin + F.col("place")).cast("long"))
+        n = self.add_batch(rows, "logs-" + hashlib.sha256("\n".join(names).encode()).hexdigest()[:16])
+        fs, _ = self._fs(path)
+        for r in found.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect():
+            fs.delete(self._fs(r["path"])[1], False)
+        return n
+
+    def expire(self, now_ms: int | None = None) -> int:
+        """Removes the buckets whose newest row is older than the time to live; rows without time stay. Gives their rows."""
+        self._opened()
+        if self.config.ttl_minutes <= 0 or self.entered is None:
+            return 0
+        least = int(time.time() * 1000 if now_ms is None else now_ms) - self.config.ttl_minutes * 60_000
+        with self._writing():
+            old = self.manifest.filter((F.col("ts_end") > 0) & (F.col("ts_end") < least)).select("partition_key")
+            gone = self.entered.join(old, "partition_key", "left_semi").collect()
+            for r in gone:
+                fs, p = self._fs(f"{self.root}/vectors/batch={r['batch']}/ts_partition={r['ts_partition']}/custom_index={r['custom_index']}/bucket_number={r['bucket_number']}")
+                fs.delete(p, True)
+            for batch in {r["batch"] for r in gone}:
+                self._enter(batch)
+        return sum(r["element_count"] for r in gone)
+
+    def compact(self, name: str | None = None) -> int:
+        """Writes all batches' rows as one batch with a file for each bucket; gives how many batches went."""
+        self._opened()
+        before = self._batches("manifest")
+        if len(before) < 2:
+            return 0
+        with self._writing():
+            name = name or f"compact-{int(time.time() * 1000):015d}"
+            keys = ["ts_partition", "custom_index", "bucket_number"]
+            self.routed.drop("batch").repartition(*keys).sortWithinPartitions(*keys, "seq").write.partitionBy(*keys).parquet(f"{self.root}/new/batch={name}")
+            self._write("compacting", {"new": name, "old": before})
+            self._end_compaction()
+        return len(before)
+
+    def _end_compaction(self) -> None:
+        """Puts a finished new batch in the place of the old ones. Each step may be done again after a crash, and the old
+        batches are no longer entered when the new one comes, so no row is seen twice."""
+        plan = self._read("compacting")
+        if not plan:
+            return
+        at = lambda name: self._fs(f"{self.root}/{name}")[1]
+        fs, new = self._fs(f"{self.root}/new/batch={plan['new']}")
+        for b in plan["old"]:
+            fs.delete(at(f"manifest/batch={b}"), True)
+        if fs.exists(new):
+            fs.rename(new, at(f"vectors/batch={plan['new']}"))
+        for b in plan["old"]:
+            fs.delete(at(f"vectors/batch={b}"), True)
+        self._enter(plan["new"])
+        fs.delete(at("compacting.json"), False)
 
     def add_vectors(self, ids, vectors, timestamp: int = 0, partition: str = DEFAULT_TAG, chunks=None, num_threads: int = -1) -> int:
         """Adds vectors of one time and tag and gives the last id."""
         self._opened()
         rows = _rows(ids, vectors, self.config.dimension, chunks).assign(ts_ms=int(timestamp), tag=partition)
         rows["seq"] = range(len(rows))
-        number = (self._read("batches") or 0) + 1
-        self._write("batches", number)
+        with self._writing():
+            number = (self._read("batches") or 0) + 1
+            self._write("batches", number)
         self.add_batch(_frame(self.spark, rows), f"call-{number:012d}")
         return int(rows["id"].iloc[-1])
 
@@ -234,21 +408,22 @@ class PartitionedDB:
     def grouping(self, items: DataFrame, threshold: float, id_key: str = "image_id", partition_key: str = "device_id", timestamp_key: str = "timestamp", full_partition_key: str = "") -> DataFrame:
         """(group_id, ids): items' vectors around running centroids."""
         timed = items.withColumn("time_bucket", bucket_name(F.col(timestamp_key).cast("long"), self.config.granularity)) if timestamp_key in items.columns else items
-        return grouped_ids(group_by_centroids(resolve_vectors(timed, self.routed, id_key, partition_key, "time_bucket", full_partition_key), threshold))
+        return grouped_ids(group_by_centroids(resolve_vectors(timed, self.routed, id_key, partition_key, "time_bucket", full_partition_key, self.tags), threshold))
 
     def total_records(self) -> int:
-        rows = self.routed
-        return 0 if rows is None else rows.count()
+        return self.get_health()["total_records"]
 
     def perform_full_scan(self) -> dict:
         rows = self.routed
         return {"vectors": 0, "buckets": 0, "partitions": 0, "wal_files": 0} if rows is None else catalog.full_scan(rows).first().asDict()
 
     def get_health(self) -> dict:
-        scan = self.perform_full_scan()
+        """State and sizes, from the manifest. Batches are stored before a call returns, so nothing is ever pending."""
+        m = self.manifest
+        scan = {"n": 0, "buckets": 0, "times": 0} if m is None else m.agg(F.coalesce(F.sum("element_count"), F.lit(0)).alias("n"), F.count("*").alias("buckets"), F.countDistinct("ts_partition").alias("times")).first().asDict()
         return {
-            "is_open": not self.closed, "has_error": self.error is not None, "error": self.error or "", "pending_tasks": 0, "pending_wals": 0, "wal_files": scan["wal_files"], "loaded_partitions": 0,
-            "total_buckets": scan["buckets"], "total_partitions": scan["partitions"], "total_records": scan["vectors"], "max_elements": self.config.max_elements,
+            "is_open": not self.closed, "has_error": self.error is not None, "error": self.error or "", "pending_tasks": 0, "pending_wals": 0, "wal_files": 0, "loaded_partitions": 0,
+            "total_buckets": scan["buckets"], "total_partitions": scan["times"], "total_records": scan["n"], "max_elements": self.config.max_elements,
             "dimension": self.config.dimension, "granularity": self.config.granularity, "ttl_minutes": self.config.ttl_minutes,
         }
 

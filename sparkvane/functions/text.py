@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +19,33 @@ def _checked(size: int, overlap: int) -> int:
     return size - overlap
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parts(text: Column, size: int) -> Column:
+    """A text cut every `size` characters, in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def text_chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
     """Chunks of `size` characters as (chunk, start, end); the last one ends with the text."""
     step = _checked(size, overlap)
     n = F.length(text)
-    last = F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int") * step
-    cut = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.struct(F.substring(text, s + 1, F.lit(size)).alias("chunk"), s.alias("start"), F.least(s + size, n).alias("end")))
-    return F.when(n > 0, cut).otherwise(F.filter(cut, lambda _: F.lit(False)))
+
+    def cut(x: Column) -> Column:
+        last = F.ceil(F.greatest(x["n"] - size, F.lit(0)) / step).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.struct(
+                F.substring(F.array_join(F.slice(x["parts"], i + 1, F.lit(-(-size // step))), ""), 1, size).alias("chunk"),
+                (i * step).alias("start"), F.least(i * step + size, x["n"]).alias("end"),
+            ),
+        )
+
+    found = _bound(F.struct(_parts(text, step).alias("parts"), n.alias("n")), cut)
+    return F.when(n > 0, found).otherwise(F.filter(found, lambda _: F.lit(False)))
 
 
 def lines(text: Column) -> Column:
@@ -35,14 +56,16 @@ def lines(text: Column) -> Column:
 def line_chunks(text: Column, size: int = 50, overlap: int = 5) -> Column:
     """Chunks of `size` lines as (chunk, start_line, end_line)."""
     step = _checked(size, overlap)
-    all_lines = lines(text)
-    n = F.size(all_lines)
-    last = F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int") * step
-    cut = F.transform(
-        F.sequence(F.lit(0), last, F.lit(step)),
-        lambda s: F.struct(F.array_join(F.slice(all_lines, s + 1, F.lit(size)), "").alias("chunk"), s.alias("start_line"), F.least(s + size, n).alias("end_line")),
-    )
-    return F.when(n > 0, cut).otherwise(F.filter(cut, lambda _: F.lit(False)))
+
+    def cut(x: Column) -> Column:
+        last = F.ceil(F.greatest(F.size(x) - size, F.lit(0)) / step).cast("int") * step
+        return F.transform(
+            F.sequence(F.lit(0), last, F.lit(step)),
+            lambda s: F.struct(F.array_join(F.slice(x, s + 1, F.lit(size)), "").alias("chunk"), s.alias("start_line"), F.least(s + size, F.size(x)).alias("end_line")),
+        )
+
+    found = _bound(lines(text), cut)
+    return F.when(F.length(text) > 0, found).otherwise(F.filter(found, lambda _: F.lit(False)))
 
 
 def paragraph_chunks(text: Column, longer_than: int = 50) -> Column:
@@ -51,9 +74,12 @@ def paragraph_chunks(text: Column, longer_than: int = 50) -> Column:
 
 def window_chunks(text: Column, size: int = 100, step: int = 80) -> Column:
     """Sliding windows, short ones at the end included."""
-    n = F.length(text)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: F.substring(text, s + 1, F.lit(size)))
-    return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
+    each = F.lit(-(-size // step))
+
+    def cut(x: Column) -> Column:
+        return F.transform(x, lambda _, i: F.substring(F.array_join(F.slice(x, i + 1, each), ""), 1, size))
+
+    return F.coalesce(_bound(_parts(text, step), cut), F.array().cast("array<string>"))
 
 
 def split_documents(docs: DataFrame, text: str = "text", path: str = "path", size: int = 500, overlap: int = 50, n_lines: int = 5, line_overlap: int = 1) -> DataFrame:

@@ -53,6 +53,7 @@ def ivf_batch(indexed: DataFrame, centres: np.ndarray, queries: Sequence[tuple[i
     q = np.array([x for _, x in queries], np.float64)
     ids = np.array([i for i, _ in queries], np.int64)
     near = distances("l2", q, centres).argsort(axis=1, kind="stable")[:, :probes]
+    indexed = indexed.filter(F.col("ivf_list").isin(*np.unique(near).tolist()))  # a stored index is read by these folders only
     held = indexed.sparkSession.sparkContext.broadcast((q, ids, near))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +76,13 @@ def ivf_batch(indexed: DataFrame, centres: np.ndarray, queries: Sequence[tuple[i
 
 
 def recall(indexed: DataFrame, centres: np.ndarray, queries: Sequence[tuple[int, Sequence[float]]], exact: DataFrame, k: int, probes: int = 8) -> DataFrame:
-    """(queries, found, wanted, recall) of the lists against an exact result (query_id, id)."""
+    """(queries, found, wanted, recall, read_part) of the lists against an exact result (query_id, id).
+
+    read_part: the part of all vectors that a query's lists hold, on average.
+    """
+    near = distances("l2", np.array([x for _, x in queries], np.float64), centres).argsort(axis=1, kind="stable")[:, :probes]
+    sizes = {r["ivf_list"]: r["n"] for r in indexed.groupBy("ivf_list").agg(F.count("*").alias("n")).collect()}
+    read = sum(sizes.get(int(c), 0) for c in near.ravel()) / max(1, len(near) * sum(sizes.values()))
     got = ivf_batch(indexed, centres, queries, k, probes).select("query_id", "id", F.lit(1).alias("hit"))
     both = exact.join(got, ["query_id", "id"], "left")
-    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("hit").alias("found"), F.count("*").alias("wanted"), (F.count("hit") / F.count("*")).alias("recall"))
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("hit").alias("found"), F.count("*").alias("wanted"), (F.count("hit") / F.count("*")).alias("recall"), F.lit(read).alias("read_part"))

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.catalog import no_tags, small
+from ..plans.catalog import partition_key as partition_key_of
+from ..plans.config import DEFAULT_TAG
+
 
 class Centroids:
     """Takes unit vectors one by one: each joins the most similar centroid, or founds one."""
@@ -45,25 +49,29 @@ class Centroids:
         return self.count - 1
 
 
-def resolve_vectors(items: DataFrame, routed: DataFrame, id_key: str = "image_id", partition_key: str = "device_id", time_bucket: str = "ts_partition", full_partition_key: str = "") -> DataFrame:
+def resolve_vectors(
+    items: DataFrame, routed: DataFrame, id_key: str = "image_id", partition_key: str = "device_id", time_bucket: str = "ts_partition", full_partition_key: str = "", tags: DataFrame | None = None
+) -> DataFrame:
     """(id, embedding) of each item, the first stored one where the item points.
 
-    items has id_key and, where known, a tag (partition_key), a time bucket and a full bucket key. A row with the full
-    key comes first, then tag and time, then time alone if the tag is unknown. Items without a stored vector go.
+    An item names its bucket by a full key, or by a time bucket and a tag; one without a time or tag means `default`. The
+    bucket it names comes first (the first of a time and tag), then the others of that time and tag in order, and of the
+    whole time only where the tag is unknown. tags: (custom_index, tag), aliases included; without it the tags of the
+    stored rows. Items that repeat an id are looked up each, and the best hit counts; those without a stored vector go.
     """
     if id_key not in items.columns:
         raise ValueError(f"items have no column {id_key!r}")
     col = lambda name: F.col(name).cast("string") if name and name in items.columns else F.lit(None).cast("string")
-    asked = items.select(F.col(id_key).cast("long").alias("id"), col(full_partition_key).alias("w_key"), col(partition_key).alias("w_tag"), col(time_bucket).alias("w_time")).dropDuplicates(["id"])
-    known = routed.select("id", "embedding", "seq", "partition_key", "tag", "ts_partition")
-    case = (
-        F.when(F.col("w_key") == F.col("partition_key"), 0)
-        .when(F.col("w_key").isNull() & (F.col("w_tag") == F.col("tag")) & (F.col("w_time").isNull() | (F.col("w_time") == F.col("ts_partition"))), 1)
-        .when(F.col("w_key").isNull() & F.col("w_tag").isNull() & (F.col("w_time").isNull() | (F.col("w_time") == F.col("ts_partition"))), 2)
-        .when(F.col("w_time") == F.col("ts_partition"), 3)
-    )
-    hits = asked.join(known, "id").withColumn("case", case).filter("case is not null")
-    best = F.row_number().over(W.partitionBy("id").orderBy("case", "partition_key", "seq"))
+    default = F.lit(DEFAULT_TAG)
+    asked = items.select(F.col(id_key).cast("long").alias("id"), col(full_partition_key).alias("key"), F.coalesce(col(partition_key), default).alias("tag"), F.coalesce(col(time_bucket), default).alias("time")).distinct()
+    known = tags if tags is not None else routed.select("custom_index", "tag").union(no_tags(routed.sparkSession)).distinct()
+    asked = asked.join(small(known.select("tag", F.col("custom_index").alias("index"))), "tag", "left")
+    whole_time = F.concat(F.col("time"), F.lit("_"))
+    named = F.coalesce("key", partition_key_of(F.col("time"), F.coalesce("index", F.lit(0)), F.lit(0)))
+    wider = F.when(F.col("key").isNotNull(), F.when(F.contains("key", F.lit("_")), F.regexp_replace("key", "_[^_]*$", "_"))).otherwise(F.when(F.col("index").isNull(), whole_time).otherwise(F.concat(whole_time, F.col("index").cast("string"), F.lit("_"))))
+    asked = asked.select("id", named.alias("named"), wider.alias("wider"))
+    hits = asked.join(routed.select("id", "embedding", "seq", "partition_key"), "id").filter((F.col("partition_key") == F.col("named")) | F.col("partition_key").startswith(F.col("wider")))
+    best = F.row_number().over(W.partitionBy("id").orderBy(F.col("partition_key") != F.col("named"), "partition_key", "seq"))
     return hits.withColumn("best", best).filter("best = 1").select("id", "embedding")
 
 

@@ -74,10 +74,10 @@ def route(vectors: DataFrame, tags: DataFrame, granularity: str, capacity: int,
     return rows.withColumn("bucket_number", number).withColumn("partition_key", partition_key(F.col("ts_partition"), F.col("custom_index"), F.col("bucket_number"))).drop("rn", "held")
 
 
-def manifest(routed: DataFrame) -> DataFrame:
+def manifest(routed: DataFrame, *more: Column) -> DataFrame:
     """One row per bucket with event-time bounds and size."""
     return routed.groupBy("partition_key", "ts_partition", "custom_index", "bucket_number").agg(
-        F.min("ts_ms").alias("ts_start"), F.max("ts_ms").alias("ts_end"), F.count("*").alias("element_count")
+        F.min("ts_ms").alias("ts_start"), F.max("ts_ms").alias("ts_end"), F.count("*").alias("element_count"), *more
     )
 
 

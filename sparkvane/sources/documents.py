@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import split_documents
 
@@ -87,3 +89,13 @@ def load(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
 def load_chunks(spark: SparkSession, path: str, glob: str | None = None, **sizes) -> DataFrame:
     """Files as chunks, ready to embed and store."""
     return split_documents(load(spark, path, glob), **sizes)
+
+
+def index_folder(spark: SparkSession, path: str, database, registry, model: str = "hashing", tag: str = "default", ts_ms: int = 0, glob: str | None = None, **sizes) -> int:
+    """Files below a path as chunks, embedded and stored in a PartitionedDB as one batch named by the path; gives their number.
+
+    A chunk's text is its label. Search with the same model's embedding of the question.
+    """
+    chunks = load_chunks(spark, path, glob, **sizes).filter(F.trim("chunk") != "")
+    rows = chunks.select(F.pmod(F.xxhash64("path", "chunk_no"), F.lit(2**62)).alias("id"), registry.column(F.col("chunk"), model).alias("embedding"), "chunk", F.lit(ts_ms).cast("long").alias("ts_ms"), F.lit(tag).alias("tag"))
+    return database.add_batch(rows, "folder-" + hashlib.sha256(path.encode()).hexdigest()[:16])

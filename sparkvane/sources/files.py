@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 
@@ -33,7 +34,7 @@ def scan(spark: SparkSession, root: str, node_id: str = "local", exclude: tuple[
             except OSError:
                 return None
             name, parent = os.path.basename(path), os.path.dirname(path)
-            meta = f'{{"name": "{name}", "extension": "{os.path.splitext(name)[1]}", "size": {s.st_size}, "lastModified": {int(s.st_mtime * 1000)}, "parentDir": "{parent}"}}'
+            meta = json.dumps({"name": name, "extension": os.path.splitext(name)[1], "size": s.st_size, "lastModified": int(s.st_mtime * 1000), "parentDir": parent})
             return (path, node_id, s.st_size, int(s.st_mtime * 1000), int(s.st_ctime * 1000), meta, now)
 
         start = os.path.join(root, top)
