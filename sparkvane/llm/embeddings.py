@@ -9,26 +9,41 @@ holds two blocks whatever the cell's size; it returns sums of links and a star f
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_stage, stage
 from .graph import components
 
 THRESHOLD = 0.95
 BLOCK = 8192
-PIVOT_SAMPLE, VECTORS_A_PIVOT, MOST_PIVOTS = 2000, 4096, 64
-#: Similarities in single precision are surely right outside this band; inside it they are computed again in double.
-BAND = 2e-5
+#: Vectors of one length for each pivot at least, and sampled vectors for each pivot to choose from.
+VECTORS_A_PIVOT, SAMPLED_A_PIVOT = 4096, 32
+
+
+def band(width: int) -> float:
+    """Similarities of unit vectors in single precision are surely right when they are farther than this from a threshold:
+    twice the bound of a sum's rounding errors. Nearer ones are computed again in double precision."""
+    return 2 * (width + 4) * 2.0**-24
 
 
 def _unit(values: np.ndarray) -> np.ndarray:
+    """Unit vectors; by the largest component first, as the square of a large or small one would leave its range."""
+    values = values / np.abs(values).max(axis=1, keepdims=True, initial=0)
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
+def pivots_for(n: int) -> int:
+    """A pivot for each VECTORS_A_PIVOT vectors, later with the square root of their number, so that finding the nearest
+    pivot stays cheaper than joining a cell, and no number of vectors stops cells from getting more."""
+    return max(1, min(n // VECTORS_A_PIVOT, math.isqrt(n) // 8))
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
@@ -45,11 +60,11 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 def local_links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, weight: np.ndarray, threshold: float):
     """Sums of weight over each a's links, and stars (node, centre) of the components of the links between a and b."""
     mask = np.empty((len(a), len(b)), bool)
-    a32, b32 = a.astype(np.float32), b.astype(np.float32).T
+    a32, b32, near = a.astype(np.float32), b.astype(np.float32).T, band(a.shape[1])
     for i in range(0, len(a), 1024):
         s = a32[i : i + 1024] @ b32
         m = s >= threshold
-        x, y = np.nonzero(np.abs(s - threshold) < BAND)
+        x, y = np.nonzero(np.abs(s - threshold) < near)
         for k in range(0, len(x), 65536):
             xs, ys = x[k : k + 65536], y[k : k + 65536]
             m[xs, ys] = np.einsum("ij,ij->i", a[i + xs], b[ys]) >= threshold
@@ -86,13 +101,7 @@ def range_join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BL
     reps = stage(reps.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     member = keyed.select("vec_id", "k1", "k2").join(reps.select("k1", "k2", "rep", "copies"), ["k1", "k2"]).select("vec_id", "rep", "copies")
 
-    found_links, found_sums = None, None
-    for (width,) in reps.select(F.size("e")).distinct().orderBy(F.size("e")).collect():
-        links, sums = _one_width(spark, reps.filter(F.size("e") == width), width, threshold, block)
-        found_links = links if found_links is None else found_links.union(links)
-        found_sums = sums if found_sums is None else found_sums.union(sums)
-    if found_links is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found_links, found_sums = _links(spark, reps, threshold, block)
     named = reps.select("rep", "least").join(components(found_links).withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("rep", "least", F.coalesce("component", "rep").alias("component"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -103,43 +112,73 @@ def range_join(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BL
     return linked.union(lone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _one_width(spark, reps: DataFrame, width: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) links that keep the components, and (rep, n) sums of links."""
-    n = reps.count()
+def _links(spark, reps: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links that keep the components, and (rep, n) sums of links.
+
+    Vectors of another length never meet: a cell is named by length and pivot. Lengths with too few vectors for two
+    pivots are one cell each, however many such lengths there are.
+    """
     radius = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
-    sample = reps.select("e").orderBy("k1", "k2").limit(PIVOT_SAMPLE).collect()
-    pivots = choose_pivots(_unit(np.array([r[0] for r in sample], np.float64)), int(np.clip(n // VECTORS_A_PIVOT, 1, MOST_PIVOTS)))
-    held = spark.sparkContext.broadcast(pivots)
+    reps = reps.withColumn("width", F.size("e"))
+    large = {r["width"]: r["n"] for r in reps.groupBy("width").agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * VECTORS_A_PIVOT).collect()}
+    pivots = {}
+    if large:
+        part = F.create_map(*[F.lit(x) for w, n in large.items() for x in (w, int(1_000_000 * min(1.0, SAMPLED_A_PIVOT * pivots_for(n) / n)) + 1)])
+        sample = reps.filter(F.pmod("k1", F.lit(1_000_000)) < F.coalesce(F.element_at(part, F.col("width")), F.lit(0))).select("k1", "k2", "width", "e").collect()
+        for w, n in large.items():
+            rows = sorted((r["k1"], r["k2"], r["e"]) for r in sample if r["width"] == w)
+            pivots[w] = choose_pivots(_unit(np.array([r[2] for r in rows], np.float64)), pivots_for(n)) if rows else None
+    held = spark.sparkContext.broadcast({w: p for w, p in pivots.items() if p is not None})
+
+    def angles(b: pa.RecordBatch):
+        """(width, rows, angles to its pivots or None) for each length in a batch."""
+        width = b.column("width").to_numpy()
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            of = held.value.get(w)
+            if of is None:
+                yield w, rows, None
+                continue
+            x = _unit(_matrix(b.column("e").take(pa.array(rows)), w))
+            yield w, rows, np.arccos(np.clip(x @ of.T, -1, 1))
 
     def own_cells(batches):
         for b in batches:
-            angle = np.arccos(np.clip(_unit(_matrix(b.column("e"), width)) @ held.value.T, -1, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(angle.argmin(axis=1), pa.int64()), pa.array(angle.min(axis=1))], ["cell", "angle"])
+            for w, rows, angle in angles(b):
+                cell, least = (np.zeros(len(rows), np.int64), np.zeros(len(rows))) if angle is None else (angle.argmin(axis=1), angle.min(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), w), pa.int32()), pa.array(cell, pa.int64()), pa.array(least)], ["width", "cell", "angle"])
 
-    sizes = {r["cell"]: (r["n"], r["radius"]) for r in reps.select("e").mapInArrow(own_cells, "cell long, angle double").groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
+    some = reps.filter(F.col("width").isin(*held.value)) if held.value else reps.limit(0)
+    wide: dict[tuple[int, int], float] = {
+        (r["width"], r["cell"]): r["radius"] for r in some.select("width", "e").mapInArrow(own_cells, "width int, cell long, angle double").groupBy("width", "cell").agg(F.max("angle").alias("radius")).collect()
+    }
 
     def to_cells(batches):
-        blocks = {c: -(-k // block) for c, (k, _) in sizes.items()}
-        wide = np.array([sizes[c][1] if c in sizes else -10.0 for c in range(len(held.value))])
         for b in batches:
-            angle = np.arccos(np.clip(_unit(_matrix(b.column("e"), width)) @ held.value.T, -1, 1))
-            home, own = angle.argmin(axis=1), angle.min(axis=1)
-            goes = (angle <= own[:, None] + 2 * radius) & (angle <= wide[None, :] + radius)
-            goes[np.arange(len(home)), home] = True
-            v, c = np.nonzero(goes)
-            yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(v)), pa.array(c, pa.int64()), pa.array(home[v] == c), pa.array([blocks.get(int(x), 1) for x in c], pa.int64())], ["rep", "cell", "home", "blocks"])
-
-    placed = stage(reps.select("rep", "e").mapInArrow(to_cells, "rep long, cell long, home boolean, blocks long"), "cells")
-    counts = {r["cell"]: -(-r["n"] // block) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    across = F.element_at(F.create_map(*[F.lit(int(x)) for kv in counts.items() for x in kv]), F.col("cell").cast("int"))
-    slot = lambda k: F.pmod(F.xxhash64("rep"), k)
-    upto = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k.cast("long") - 1))
-    mine = placed.filter("home").select("rep", "cell", slot(F.col("blocks")).alias("i"), upto(across).alias("j"), F.lit(True).alias("own"))
-    theirs = placed.select("rep", "cell", upto(F.col("blocks")).alias("i"), slot(across.cast("long")).alias("j"), F.lit(False).alias("own"))
+            for w, rows, angle in angles(b):
+                if angle is None:
+                    v, c, home = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+                else:
+                    reach = np.array([wide.get((w, q), -10.0) for q in range(angle.shape[1])])
+                    home, own = angle.argmin(axis=1), angle.min(axis=1)
+                    goes = (angle <= own[:, None] + 2 * radius) & (angle <= reach[None, :] + radius)
+                    goes[np.arange(len(home)), home] = True
+                    v, c = np.nonzero(goes)
+                yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(rows[v])), pa.array(np.full(len(v), w), pa.int32()), pa.array(c, pa.int64()), pa.array(home[v] == c)], ["rep", "width", "cell", "home"])
+
+    placed = stage(reps.select("rep", "width", "e").mapInArrow(to_cells, "rep long, width int, cell long, home boolean"), "cells")
+    key = ["width", "cell"]
+    counts = placed.groupBy(*key).agg(F.sum(F.col("home").cast("long")).alias("own"), F.count("*").alias("members"))
+    counts = counts.select(*key, F.greatest(F.ceil(F.col("own") / block), F.lit(1)).alias("rows"), F.ceil(F.col("members") / block).alias("across"))
+    sized = placed.join(counts, key)
+    slot = lambda k: F.pmod(F.xxhash64("rep"), F.col(k))
+    upto = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    mine = sized.filter("home").select("rep", *key, slot("rows").alias("i"), upto("across").alias("j"), F.lit(True).alias("own"))
+    theirs = sized.select("rep", *key, upto("rows").alias("i"), slot("across").alias("j"), F.lit(False).alias("own"))
     dealt = mine.union(theirs).join(reps.select("rep", "copies", "e"), "rep")
 
-    def join_blocks(_, t):
-        t = t.combine_chunks()
+    def join_blocks(key, t):
+        t, width = t.combine_chunks(), key[0].as_py()
         own = t.column("own").to_numpy(zero_copy_only=False).astype(bool)
         ids, weight = t.column("rep").to_numpy(), t.column("copies").to_numpy()
         x = _unit(_matrix(t.column("e").chunk(0), width)) if t.num_rows else np.zeros((0, width))
@@ -151,5 +190,6 @@ def _one_width(spark, reps: DataFrame, width: int, threshold: float, block: int)
         }).astype({"a": "int64", "b": "int64", "n": "int64", "link": "bool"})
         return pa.Table.from_pandas(out, preserve_index=False)
 
-    joined = stage(dealt.groupBy("cell", "i", "j").applyInArrow(join_blocks, "a long, b long, n long, link boolean"), "cell-links")
+    joined = stage(dealt.groupBy(*key, "i", "j").applyInArrow(join_blocks, "a long, b long, n long, link boolean"), "cell-links")
+    drop_stage(placed)
     return joined.filter("link").select("a", "b"), joined.filter("not link").select(F.col("a").alias("rep"), "n")
