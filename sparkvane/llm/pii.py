@@ -3,8 +3,9 @@
 The fixed patterns are searched in each text as it stands. Then a chain of transducers rewrites what may hide an
 identifier: zero-width characters go, homoglyphs and foreign digits become ASCII, spelled digits become digits, and
 disguised at and dot become signs. Each transducer keeps where every piece came from, so what is found in the rewritten
-text is mapped back, step by step, to code points of the source. A span of the source pattern always stays; a rewritten
-find is added where it overlaps no span of its kind.
+text is mapped back, step by step, to code points of the source: each digit word and each sign is a piece of its own, so
+a span begins and ends with the words that it was read from. A span of the source pattern always stays; a rewritten find
+is added where it overlaps no span of its kind.
 """
 
 from __future__ import annotations
@@ -49,16 +50,21 @@ SPELLED = {
 }
 AT = ("at", "arroba", "arobase", "klammeraffe")
 DOT = ("dot", "punkt", "point", "punto")
+# Words that an at written as a bare word follows without an address, where the domain's dots are plain.
+BEFORE_AT = frozenset("look looked looking arrive arrived be is are was were been me us it them you available found find see seen visit online live hosted host site page shop only sold meet stay located read more work works working here start started not and or".split())
 # Domain endings that a dot written as a bare word may stand before; any may follow a dot in brackets.
 DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "de", "fr", "es", "eu", "uk", "at", "ch", "it", "us", "example", "test")
 
 _ZERO_WIDTH = re.compile("[​-‍⁠﻿­]+")
-_names = "|".join(sorted(SPELLED, key=len, reverse=True))
-_SPELLED_RUN = re.compile(rf"\b(?:{_names})(?:[\s,-]+(?:{_names}|[0-9])\b){{3,}}", re.I)
+_names, _at, _dot = ("|".join(sorted(x, key=len, reverse=True)) for x in (SPELLED, AT, DOT))
+_SPELLED_RUN = re.compile(rf"\b(?:{_names})(?:[\s,-]+(?:{_names}|{_dot}|[0-9])\b){{2,}}[\s,-]+(?:{_names}|[0-9])\b", re.I)
 #: What every spelled run holds; found faster, as it begins with a separator.
-_SPELLED_HINT = re.compile(rf"[\s,-](?:{_names}|[0-9])(?:[\s,-]+(?:{_names}|[0-9])\b){{2}}", re.I)
-_SPELLED_PART = re.compile(rf"{_names}|[0-9]", re.I)
-_at, _dot = "|".join(AT), "|".join(DOT)
+_SPELLED_HINT = re.compile(rf"[\s,-](?:{_names}|{_dot}|[0-9])(?:[\s,-]+(?:{_names}|{_dot}|[0-9])\b){{2}}", re.I)
+_SPELLED_PART = re.compile(rf"({_names}|[0-9])|({_dot})|[\s,-]+", re.I)
+#: A number of eight or more figures of which some are letters that look like them.
+_FIGURES = re.compile(r"[0-9OoIl](?<![A-Za-z0-9].)(?:[ -]?[0-9OoIl]){7,22}(?![A-Za-z0-9])")
+_DIGIT = re.compile("[0-9]")
+_FIGURE = str.maketrans("OoIl", "0011")
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _DOT_BRACKET = rf"{_OPEN}(?:{_dot}|\.){_CLOSE}"
 _DOT_MARK = rf"(?:{_DOT_BRACKET}|\s+(?:{_dot})\s+)"
@@ -67,6 +73,7 @@ _AT_DISGUISE = re.compile(
     rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_at}|@){_CLOSE}|\s+(?:{_at})\s+(?=[A-Za-z0-9-]+(?:{_DOT_MARK}[A-Za-z0-9-]+){{0,4}}?(?:{_DOT_MARK}(?:{_ends})|{_DOT_BRACKET}[A-Za-z]{{2,}})\b)|\s+@\s+)(?=[A-Za-z0-9])",
     re.I,
 )
+_AT_PLAIN = re.compile(rf"\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{_ends})\b)", re.I)
 _DOT_DISGUISE = re.compile(
     rf"(?<=[A-Za-z0-9])(?:{_DOT_BRACKET}|\s+(?:{_dot})\s+(?=(?:[A-Za-z0-9-]+{_DOT_MARK}){{0,4}}(?:{_ends})\b)|(?<=[0-9])\s+(?:{_dot})\s+(?=[0-9]))(?=[A-Za-z0-9])",
     re.I,
@@ -87,10 +94,13 @@ def _glyphs() -> tuple[dict[int, str], re.Pattern]:
 _GLYPHS, _GLYPH_RUN = _glyphs()
 
 
+Edits = Iterator[tuple[int, int, str]]
+
+
 class Rewritten:
     """A rewritten text and where each piece of it stood. A piece of equal length maps code point by code point."""
 
-    def __init__(self, text: str, places: re.Pattern, to: Callable[[str], str]):
+    def __init__(self, text: str, edits: Edits):
         self.at, self.pieces, out, n, end = [], [], [], 0, 0
 
         def put(s: str, start: int, stop: int, same: bool) -> None:
@@ -101,11 +111,10 @@ class Rewritten:
                 out.append(s)
                 n += len(s)
 
-        for m in places.finditer(text):
-            put(text[end : m.start()], end, m.start(), True)
-            new = to(m[0])
-            put(new, m.start(), m.end(), len(new) == len(m[0]))
-            end = m.end()
+        for start, stop, new in edits:
+            put(text[end:start], end, start, True)
+            put(new, start, stop, len(new) == stop - start)
+            end = stop
         put(text[end:], end, len(text), True)
         self.text = "".join(out)
 
@@ -157,23 +166,53 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _replaced(places: re.Pattern, to: Callable[[str], str]) -> Callable[[str], Edits]:
+    return lambda text: ((m.start(), m.end(), to(m[0])) for m in places.finditer(text))
+
+
+def _spelled(text: str) -> Edits:
+    """Digit words and dots within a run one by one; what separates them goes."""
+    for run in _SPELLED_RUN.finditer(text):
+        for part in _SPELLED_PART.finditer(run[0]):
+            new = "." if part[2] else SPELLED.get(part[1].lower(), part[1]) if part[1] else ""
+            yield run.start() + part.start(), run.start() + part.end(), new
+
+
+def _figures(text: str) -> Edits:
+    for m in _FIGURES.finditer(text):
+        letters = sum(c in "OoIl" for c in m[0])
+        if 0 < letters <= sum("0" <= c <= "9" for c in m[0]):
+            yield m.start(), m.end(), m[0].translate(_FIGURE)
+
+
+def _plain_at(text: str) -> Edits:
+    for m in _AT_PLAIN.finditer(text):
+        local = re.search(r"[A-Za-z0-9._%+-]*\Z", text[max(0, m.start() - 64) : m.start()])[0]
+        if local[-1:].isalnum() and local.lower() not in BEFORE_AT:
+            yield m.start(), m.end(), "@"
+
+
 def _chain(text: str) -> tuple[str, list[Rewritten]]:
     steps = []
 
-    def step(places: re.Pattern, to: Callable[[str], str]) -> None:
+    def step(edits: Callable[[str], Edits]) -> None:
         nonlocal text
-        if places.search(text):
-            steps.append(Rewritten(text, places, to))
+        found = list(edits(text))
+        if found:
+            steps.append(Rewritten(text, iter(found)))
             text = steps[-1].text
 
     if not text.isascii():
-        step(_ZERO_WIDTH, lambda _: "")
-        step(_GLYPH_RUN, lambda s: s.translate(_GLYPHS))
+        step(_replaced(_ZERO_WIDTH, lambda _: ""))
+        step(_replaced(_GLYPH_RUN, lambda s: s.translate(_GLYPHS)))
     if _SPELLED_HINT.search(text):
-        step(_SPELLED_RUN, lambda s: "".join(SPELLED.get(x.lower(), x) for x in _SPELLED_PART.findall(s)))
+        step(_spelled)
+    if _DIGIT.search(text):
+        step(_figures)
     if _SIGN_HINT.search(text):
-        step(_AT_DISGUISE, lambda _: "@")
-        step(_DOT_DISGUISE, lambda _: ".")
+        step(_replaced(_AT_DISGUISE, lambda _: "@"))
+        step(_replaced(_DOT_DISGUISE, lambda _: "."))
+    step(_plain_at)
     return text, steps
 
 
@@ -223,7 +262,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def mask_text(text: str) -> str:
     plain = plain_spans(text)
-    spans, out, end = sorted((a, b, k) for k, a, b in plain + hidden_spans(text, plain)), [], 0
+    spans, out, end = sorted(((a, b, k) for k, a, b in plain + hidden_spans(text, plain)), key=lambda x: (x[0], -x[1], x[2])), [], 0
     for a, b, k in spans:
         if a >= end:
             out += [text[end:a], f"<{k.upper()}>"]
@@ -232,7 +271,8 @@ def mask_text(text: str) -> str:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """The documents with each span replaced by its kind; null texts stay null."""
+    """The documents with each span replaced by its kind, the longest where spans overlap from one start; null texts stay
+    null, other columns and rows without doc_id stay as they are."""
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
