@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from .common import drop_stage, stage
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has a link; a component is named by its smallest node.
 
     Large-star and small-star steps in turn (Kiveris et al., 2014): each is an aggregation to a node's smallest
-    neighbour and a join back, so no group of neighbours is ever gathered. Ends when a round changes nothing.
+    neighbour and a join back, so no group of neighbours is ever gathered. Ends when a round changes nothing, which takes
+    about as many rounds as the logarithm of a component's size; there is no other limit. Null and repeated links, and
+    links of a node with itself, add nothing; no links give no rows.
     """
     edges = stage(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
 
@@ -20,9 +22,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = told(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         # Large star: an edge's larger end goes to the smallest neighbour of its smaller end.

@@ -188,7 +188,8 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     document with all their links. Rows without doc_id are left out; an empty table gives no rows.
     """
     profiles = stage(_profiles(docs, percent), "profiles")
-    classes = profiles.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("c"))
+    # Written first: a join right behind the grouping could not split a text that a third of all rows repeat.
+    classes = stage(profiles.filter("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("c"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "classes")
     copies = profiles.filter("n > 0").select("doc_id", "n", "digest").join(classes, ["n", "digest"]).select("doc_id", "c")
     copies = stage(copies.filter("doc_id <> c").distinct(), "copies")
 
@@ -244,6 +245,6 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     joined = profiles.select("doc_id", F.col("n").alias("n_shingles")).join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     result = joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     result = stage(result, "components")
-    for s in (profiles, copies, first_level, sets, prefixed, member, keyed, first, links, found, spread, more):
+    for s in (profiles, classes, copies, first_level, sets, prefixed, member, keyed, first, links, found, spread, more):
         drop_stage(s)
     return result
