@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new local one where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; a new local one where that is unset and Spark is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkvane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

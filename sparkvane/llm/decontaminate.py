@@ -1,9 +1,9 @@
-"""Benchmark decontamination by size-partitioned MinHash containment, in DataFrame functions only.
+"""Benchmark decontamination by MinHash containment with a size bound, in DataFrame functions only.
 
 A document that holds a part T of an item's n shingles lacks at most n - ceil(T n) of them, so it holds one at least of
-the item's n - ceil(T n) + 1 smallest shingle hashes, its MinHash signature. Items are partitioned by size, each size
-with a signature of that length; a document is looked up with all its shingles in the partitions whose items it is
-large enough to contain. Candidates are then verified by exact containment. No item in a document is missed.
+the item's n - ceil(T n) + 1 smallest shingle hashes, its MinHash signature. Each size of item has a signature of that
+length, and all of them are in one index; a document is looked up with all its shingles, and items that it is too small
+to contain are dropped by their size. Candidates are then verified by exact containment. No item in a document is missed.
 """
 
 from __future__ import annotations
@@ -48,10 +48,9 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCEN
     """
     sets = _shingled(items, "item_id").select("item_id", "text_key", F.array_sort(F.array_distinct("shingles")).alias("s"))
     sets = stage(sets.withColumn("n", F.size("s")).filter("n > 0").dropDuplicates(["item_id", "text_key"]).withColumnRenamed("text_key", "item_key"), "items")
-    size_class = F.floor(F.log2("n"))
     need = F.col("n") * percent
     signature = F.slice("s", F.lit(1), F.col("n") - F.ceil(need / 100).cast("int") + 1)
-    keys = stage(sets.select("item_id", "item_key", "n", size_class.alias("size_class"), F.explode(signature).alias("h")), "item-keys")
+    keys = stage(sets.select("item_id", "item_key", "n", F.explode(signature).alias("h")), "item-keys")
     whole = stage(sets.select("item_id", "item_key", "n", F.explode("s").alias("h")), "item-shingles")
 
     rolled = _shingled(docs, "doc_id")
@@ -70,6 +69,6 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCEN
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item."""
+    """The documents that hold no item; rows without doc_id go, and rows that share a doc_id go together."""
     bad = contained(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return docs.filter(F.col("doc_id").isNotNull()).join(bad, "doc_id", "left_anti")

@@ -85,14 +85,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, w
 def sequences(pieces: DataFrame, window: int = 1024, pad_id: int = 0) -> DataFrame:
     """The windows themselves, (sequence_id, ids as unsigned 32-bit, n_ids), from pieces that hold ids.
 
-    At most `window` pieces meet in a group. A last window is padded with pad_id unless its size is a power of two.
+    At most `window` pieces meet in a group. A last window is padded with pad_id unless its size is a power of two. Pieces
+    without ids, as pack gives them by default, are an error; no pieces give no rows.
     """
 
-    def fill(parts):
-        ids = b"".join(parts)
-        n = len(ids) // 4
-        full = ids if n & (n - 1) == 0 else ids + np.full(window - n, pad_id, "<u4").tobytes()
-        return full
+    def fill(parts: pa.Array) -> pa.Array:
+        out = []
+        for row in parts.to_pylist():
+            ids = b"".join(row)
+            n = len(ids) // 4
+            out.append(ids if n & (n - 1) == 0 else ids + np.full(window - n, pad_id, "<u4").tobytes())
+        return pa.array(out, pa.binary())
 
     joined = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"), F.sum("length").alias("n_ids"))
-    return joined.select("sequence_id", F.udf(fill, "binary")(F.col("p.ids")).alias("ids"), "n_ids")
+    return joined.select("sequence_id", F.arrow_udf(fill, "binary")(F.col("p.ids")).alias("ids"), "n_ids")
